@@ -259,7 +259,7 @@ def scope_cascade(spark, d):
 
 
 def snapshots(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("rel_path"), F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("size"), F.unix_micros("o_orderdate").alias("mtime_ns"), F.md5(F.col("o_orderpriority")).alias("content_hash"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("rel_path"), F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("size"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("mtime_ns"), F.md5(F.col("o_orderpriority")).alias("content_hash"))
     before = o.where("k % 7 <> 0").drop("k")
     now = o.where("k % 5 <> 0").select("rel_path", "size", F.when(F.col("k") % 11 == 0, F.col("mtime_ns") + 1).otherwise(F.col("mtime_ns")).alias("mtime_ns"), F.when(F.col("k") % 3 == 0, "new").otherwise(F.col("content_hash")).alias("content_hash"))
     return before, now
@@ -367,7 +367,7 @@ def last_wins(spark, d):
 
 
 def telemetry(spark, d):
-    return table(spark, d, "events").select(F.col("event_id").alias("id"), "ts", "user_id", "event_type", (F.col("event_type") == "error").alias("failed"), F.col("value").alias("duration"))
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", (F.col("event_type") == "error").alias("failed"), F.col("value").alias("duration"))
 
 
 @query("SELECT event_type, count(*) AS calls, count(*) FILTER (event_type = 'error') AS failures, round(sum(value), 4) AS total, round(avg(value), 4) AS mean FROM events WHERE ts >= TIMESTAMP '2024-01-05' GROUP BY event_type")
