@@ -15,7 +15,7 @@ import io
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm._shared import map_batches, new_path, shipped, written
@@ -94,6 +94,14 @@ def record_id(page: int | None, seed: str) -> str:
     return f"<urn:uuid:{x[:8]}-{x[8:12]}-{x[12:16]}-{x[16:20]}-{x[20:]}>"
 
 
+def record_id_sql(page: Column, seed: Column) -> Column:
+    """record_id of a page that has a number."""
+    h, high, low = F.sha2(seed, 256), F.shiftrightunsigned(page, 62).bitwiseOR(4), page.bitwiseAND(2**62 - 1).bitwiseOR(F.lit(-(2**63)))
+    part = lambda x, at, n: F.substring(x, at, n)
+    tail = F.lower(F.hex(low))
+    return F.concat(F.lit("<urn:uuid:"), part(h, 1, 8), F.lit("-"), part(h, 9, 4), F.lit("-8"), F.lpad(F.lower(F.hex(high)), 3, "0"), F.lit("-"), part(tail, 1, 4), F.lit("-"), part(tail, 5, 12), F.lit(">"))
+
+
 def page_of(record: str) -> int | None:
     x = int(record.strip("<>").removeprefix("urn:uuid:").replace("-", ""), 16)
     b, c = x >> 64 & 0xFFF, x & (2**62 - 1)
@@ -101,14 +109,19 @@ def page_of(record: str) -> int | None:
     return number - (number >> 63 << 64) if b >> 2 & 1 else None
 
 
+def iso_date(date: str) -> str:
+    """14 digits, or fewer from the year on, as ISO 8601."""
+    date = date + "00000101000000"[len(date) :] if len(date) < 14 else date
+    return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+
+
 def converted(fields: dict[str, str], content: bytes) -> dict:
     """What the WARC record of an ARC record has, before it is known whether it revisits another."""
     head, payload = payload_of(content)
     found = re.search(rb"(?mi)^X-Page-Id: (-?\d+)\r?$", head)
-    page, date = int(found[1]) if found else None, fields["date"].ljust(14, "0")[:14]
-    iso = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+    page, iso = int(found[1]) if found else None, iso_date(fields["date"])
     digest = base32(hashlib.sha1(payload).digest())
-    return {"page_id": page, "uri": fields["url"], "ip": fields["ip"], "date": iso, "http": head, "payload": payload, "digest": digest, "id": record_id(page, f"{fields['url']} {iso} {digest}"), "mime": fields["type"]}
+    return {"page_id": page, "uri": fields["url"], "ip": fields["ip"], "date": iso, "http": head, "payload": payload, "digest": digest, "id": record_id(page, f"{iso} {digest}" if page is not None else f"{fields['url']} {iso} {digest}"), "mime": fields["type"]}
 
 
 def pack_arc(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -137,11 +150,11 @@ def pack_arc(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     return map_batches(df, [id_col, url_col, html_col], "arc binary", run)
 
 
-RECORD = "page_id long, uri string, ip string, date string, mime string, id string, http string, payload string, digest string, size long"
+RECORD = "page_id long, uri string, ip string, date string, mime string, id string, http binary, payload binary, digest string, size long"
 
 
 def convert(arcs: DataFrame, arc_col: str = "arc") -> DataFrame:
-    """One row per ARC record, with what its WARC record will say. Bytes that are not UTF-8 fail: WARC files here are text."""
+    """One row per ARC record, with what its WARC record will say. Contents may hold any bytes; a null archive has no records."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -149,31 +162,31 @@ def convert(arcs: DataFrame, arc_col: str = "arc") -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = [converted(*r) for r in arc_records(batch.column(0)[i].as_py() or b"")] if batch.column(0)[i].as_py() else []
-                text = lambda key: pa.array([r[key] if isinstance(r[key], str) else r[key].decode() for r in rows], pa.string())  # noqa: B023, E731
+                text = lambda key: pa.array([r[key] for r in rows], pa.binary() if key in ("http", "payload") else pa.string())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array([r["page_id"] for r in rows], pa.int64()), *(text(k) for k in ("uri", "ip", "date", "mime", "id", "http", "payload", "digest")), pa.array([len(r["payload"]) for r in rows], pa.int64())], names=["page_id", "uri", "ip", "date", "mime", "id", "http", "payload", "digest", "size"])
 
     return map_batches(arcs, [arc_col], RECORD, run)
 
 
 def with_revisits(records: DataFrame, first: DataFrame, least: int = 0) -> DataFrame:
-    """records with first_page and first_id: the response that each revisits, null for responses.
+    """records with first_page and first_date: the response that each revisits, null for responses.
 
-    first has digest, size, page_id: the least page of each payload met more than once. It is a written table, so its join's
-    skew (one payload may be a third of all) is Spark's to split.
+    first has digest, size, page_id, date: the least page of each payload met more than once. It is a written table, so its
+    join's skew (one payload may be a third of all) is Spark's to split.
     """
-    own = first.where(F.col("size") >= least).select(F.col("digest").alias("d"), F.col("page_id").alias("first_page"))
+    own = first.where(F.col("size") >= least).select(F.col("digest").alias("d"), F.col("page_id").alias("first_page"), F.col("date").alias("first_date"))
     joined = records.join(own, records.digest == F.col("d"), "left").drop("d")
     return joined.withColumn("first_page", F.when(F.col("first_page") == F.col("page_id"), None).when(F.col("page_id").isNull(), None).otherwise(F.col("first_page")))
 
 
 def record_text(records: DataFrame) -> DataFrame:
-    """value: a whole record without its last BREAK, which the writer puts after each."""
+    """value: a whole record, any bytes, without its last BREAK, which the writer puts after each."""
     revisit = F.col("first_page").isNotNull()
     http = F.length("http") > 0
     block = F.when(revisit, F.col("http")).otherwise(F.concat("http", "payload"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     kind = F.when(revisit, "revisit").when(http, "response").otherwise("resource")
-    profile = F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To-Page", F.col("first_page").cast("string")))
+    profile = F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", record_id_sql(F.col("first_page"), F.concat_ws(" ", "first_date", "digest"))))
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", kind),
@@ -188,7 +201,7 @@ def record_text(records: DataFrame) -> DataFrame:
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    return records.select(F.concat(head, block).alias("value"))
+    return records.select(F.concat(F.encode(head, "UTF-8"), block).cast("string").alias("value"))  # a cast keeps all bytes as they are
 
 
 def write_warc(records: DataFrame, path: str, per_file: int = 20_000) -> None:
@@ -233,7 +246,7 @@ def read_warc(spark, path: str) -> DataFrame:
                             payload = payload_of(block)[1] if headers["content-type"].startswith("application/http") else block
                             if (len(payload), base32(hashlib.sha1(payload).digest())) != (size, digest):
                                 raise ValueError(f"a payload differs from its header: {headers['warc-record-id']}")
-                        rows.append((page_of(headers["warc-record-id"]), size, digest, kind, int(headers["warc-refers-to-page"]) if "warc-refers-to-page" in headers else None, headers["warc-target-uri"], headers["warc-record-id"]))
+                        rows.append((page_of(headers["warc-record-id"]), size, digest, kind, page_of(headers["warc-refers-to"]) if "warc-refers-to" in headers else None, headers["warc-target-uri"], headers["warc-record-id"]))
                 cols = list(zip(*rows)) or [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "record_id"])
 
@@ -258,7 +271,7 @@ def archive_pages(df: DataFrame, least: int = 0, id_col: str = "page_id", url_co
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     light = df.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(payload).alias("x"), F.octet_length(payload).cast("long").alias("size"))
     first = light.groupBy("x", "size").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")).where("n > 1 and page_id is not null")
-    first = written(first.select(base32_sql(F.col("x")).alias("digest"), "size", "page_id"), "warc-first")
+    first = written(first.select(base32_sql(F.col("x")).alias("digest"), "size", "page_id", F.lit(iso_date(DATE)).alias("date")), "warc-first")
     path = new_path(df.sparkSession, "warc")
     write_warc(with_revisits(convert(pack_arc(df, id_col, url_col, html_col)), first, least), path)
     return read_warc(df.sparkSession, path)
