@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +67,10 @@ def worker_cache() -> dict:
 def map_batches(df: DataFrame, columns: list[str], schema: str, fn: Callable[[Iterator], Iterator]) -> DataFrame:
     """mapInArrow over just these columns of df, so that other columns can have any name."""
     return df.select(*[f"`{c}`" for c in columns]).mapInArrow(fn, schema)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit values, each bit of a result depending on all of its value's."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))

@@ -4,10 +4,16 @@ Equal fingerprints are one node, so copies never meet in pairs. k differing bits
 fingerprint goes to the C(b, b-k) keys made of b-k of its blocks. A key's fingerprints come in chunks of bounded size; each
 pair of chunks is one unit of work that yields no pairs but a spanning forest of its verified links. Components come from
 rounds of large-star and small-star steps over these forests, each round a table in the shared folder.
+
+Blocks give all links of a few bits, but texts that share four fifths of their shingles differ in some ten bits of 64, for
+which no split into blocks is selective. So where a similarity is asked for, each text also has a sketch of minima of its
+shingles' hashes. Bands of the sketch are blocks of a second kind; whole sketches verify, in the same bounded units of work.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -16,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm._shared import map_batches, shipped, written
+from ferrule.llm._shared import map_batches, mixed, shipped, written
 
 shipped(__name__)
 
@@ -27,41 +33,77 @@ STEP = 65536
 BITS = 64
 
 
-def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
-    """A bit is 1 if set in over half the XXH64 of the shingles, repeats counted. No words: 0."""
+LOWER = {c: c + 32 for c in range(65, 91)}
+#: A sketch's bands and the minima in each: at similarity 0.8 a pair shares a band with probability 0.998.
+BANDS, ROWS = 21, 6
+#: What an estimate may fall short of the similarity asked for; its standard deviation there is 0.036.
+MARGIN = 0.05
+#: Bands of the first step; the rest only look at keys that these have not made one component.
+FIRST_BANDS = 3
+#: Shingles whose minima are taken at a time.
+SKETCH_STEP = 256
+FACTOR, MASK = (np.array([int.from_bytes(hashlib.sha256(f"{name} {i}".encode()).digest()[:4], "big") | 1 for i in range(BANDS * ROWS)], np.uint32) for name in ("factor", "mask"))
+
+
+def hashed(text: str | None, shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """The XXH64 of a text's shingles, repeats included, a bounded number at a time. Fewer words than a shingle's are one."""
     import xxhash
 
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(BITS, np.int64)
+    n = max(1, len(words) - shingle + 1) if words else 0
     for at in range(0, n, STEP):
         own = words[at : min(n, at + STEP) + shingle - 1]
-        if len(words) <= shingle:
-            joined = [" ".join(words)]
-        else:
-            joined = list(map(" ".join, zip(*(own[k:] for k in range(shingle)))))
-        h = np.array([xxhash.xxh64_intdigest(s, seed) for s in joined], dtype=">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+        joined = [" ".join(words)] if len(words) <= shingle else map(" ".join, zip(*(own[k:] for k in range(shingle))))
+        yield np.array([xxhash.xxh64_intdigest(s, seed) for s in joined], dtype=np.uint64)
 
 
-LOWER = {c: c + 32 for c in range(65, 91)}
+class Marks:
+    """What one pass over a text's hashes gathers: the fingerprint's bits and, if asked for, the sketch's minima."""
+
+    def __init__(self, text: str | None, shingle: int, sketch: bool, seed: int = 42):
+        self.n, self.ones, self.least = 0, np.zeros(BITS, np.int64), np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+        for h in hashed(text, shingle, seed):
+            self.n += len(h)
+            self.ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+            if sketch:
+                low = np.unique(h.astype(np.uint32))
+                for at in range(0, len(low), SKETCH_STEP):
+                    np.minimum(self.least, ((low[at : at + SKETCH_STEP, None] ^ MASK) * FACTOR).min(0), out=self.least)
+
+    def fingerprint(self) -> int:
+        """A bit is 1 if set in over half the hashes. No words: 0."""
+        return int.from_bytes(np.packbits(2 * self.ones > self.n).tobytes(), "big")
+
+    def bands(self) -> np.ndarray:
+        """A key for each band; none for a text without words."""
+        key = np.arange(BANDS if self.n else 0, dtype=np.uint64)
+        for x in self.least.reshape(BANDS, ROWS).T.astype(np.uint64):
+            key = mixed((key ^ x[: len(key)]) * np.uint64(0x9E3779B97F4A7C15))
+        return key.view(np.int64)
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """id and fp (the fingerprint as a signed long) of each row. A null text has no words, so fingerprint 0."""
+def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
+    return Marks(text, shingle, False, seed).fingerprint()
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, sketch: bool = False) -> DataFrame:
+    """id and fp (the fingerprint as a signed long) of each row, and if asked for sk and ks (the sketch and its bands' keys).
+
+    A null text has no words, so fingerprint 0 and no keys.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            found = np.array([fingerprint(batch.column(1)[i].as_py(), shingle) for i in range(batch.num_rows)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            marks = [Marks(batch.column(1)[i].as_py(), shingle, sketch) for i in range(batch.num_rows)]
+            columns = {"id": batch.column(0), "fp": pa.array(np.array([m.fingerprint() for m in marks], np.uint64).view(np.int64))}
+            if sketch:
+                columns |= {"sk": pa.array([m.least.astype(np.uint8).tobytes() for m in marks], pa.binary()), "ks": pa.array([m.bands() for m in marks], pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_pydict(columns)
 
     kind = dict(df.dtypes)[id_col]
-    return map_batches(df, [id_col, text_col], f"id {kind}, fp long", run)
+    return map_batches(df, [id_col, text_col], f"id {kind}, fp long" + ", sk binary, ks array<long>" * sketch, run)
 
 
 def blocks(n: int) -> list[tuple[int, int]]:
@@ -107,16 +149,16 @@ def forest(a: np.ndarray, b: np.ndarray | None, bits: int) -> list[tuple[int, in
     return out
 
 
-def links(nodes: DataFrame, bits: int) -> DataFrame:
+def links(nodes: DataFrame, bits: int, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) at up to so many bits: they connect just what all links do.
 
-    Keys with more than CHUNK fingerprints are dealt out: fingerprint x is in chunk hash(x) mod n, and each pair of chunks
+    Keys with more than chunk fingerprints are dealt out: fingerprint x is in chunk hash(x) mod n, and each pair of chunks
     has a unit of its own, so no task holds more than two chunks of a key at once.
     """
     n = block_count(nodes.count(), bits)
     keyed = written(nodes.select("fp", F.explode(keys(F.col("fp"), n, bits)).alias("key")).select("fp", "key.k", "key.v"), "simhash-keys")
     counts = keyed.groupBy("k", "v").count().where("count > 1")
-    hot = written(counts.where(F.col("count") > CHUNK).select("k", "v", F.ceil(F.col("count") / CHUNK).cast("int").alias("n")), "simhash-hot")
+    hot = written(counts.where(F.col("count") > chunk).select("k", "v", F.ceil(F.col("count") / chunk).cast("int").alias("n")), "simhash-hot")
     dealt = keyed.join(hot, ["k", "v"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("n", F.lit(1))).cast("int"))
     other = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.withColumn("other", other).select("k", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
@@ -165,16 +207,95 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 3) -> DataFrame:
-    """id, fp, component_id (the least id reachable over links of up to so many bits; its own included) for each row.
+def sketch_forest(fps: list[int], sketches: list[bytes], need: int) -> set[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs whose sketches agree in so many minima."""
+    table = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(fps), -1)
+    left, out = np.arange(1, len(fps)), set()
+    queue = [0]
+    while len(left):
+        if not queue:
+            queue, left = [left[0]], left[1:]
+        at = queue.pop()
+        near = (table[left] == table[at]).sum(1) >= need
+        out.update((fps[at], fps[x]) for x in left[near] if fps[at] != fps[x])
+        queue.extend(left[near])
+        left = left[~near]
+    return out
+
+
+def sketch_links(dealt: DataFrame, need: int) -> DataFrame:
+    """Links (a, b) found inside each unit (k, v, i, j) of dealt (fp, sk)."""
+    grouped = dealt.groupBy("k", "v", "i", "j").agg(F.collect_set(F.struct("fp", "sk")).alias("of")).where(F.size("of") > 1)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            edges = set()
+            for i in range(batch.num_rows):
+                of = batch.column(0)[i].as_py()
+                edges |= sketch_forest([x["fp"] for x in of], [x["sk"] for x in of], need)
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+
+    return map_batches(grouped, ["of"], "a long, b long", run)
+
+
+def sketch_roots(marked: DataFrame, roots: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """node, root after joining components whose texts' sketches agree at this similarity, less MARGIN.
+
+    A key looks only at members of several components. Those over chunk members are first dealt into chunks, each a unit;
+    what then still has several components has its largest one's chunks, which hold no news among themselves, meet only the
+    chunks of all others. So copies in any number cost rows in proportion, and no link is lost.
+    """
+    s = similarity - MARGIN
+    need = math.ceil((s + (1 - s) / 256) * BANDS * ROWS)
+    sketches = written(marked.where(F.size("ks") > 0).groupBy("fp", "sk").agg(F.first("ks").alias("ks")).withColumn("s", F.xxhash64("sk")), "sketches")
+
+    def keyed(first: int, end: int) -> DataFrame:
+        own = sketches.join(roots, sketches.fp == roots.node, "left").select("fp", "s", F.coalesce("root", "fp").alias("root"), F.slice("ks", first + 1, end - first).alias("ks"))
+        return own.select("fp", "s", "root", F.posexplode("ks").alias("k", "v"))
+
+    def joined(found: DataFrame, keys: DataFrame) -> DataFrame:
+        live = written(found.join(keys, ["k", "v"]), "sketch-live")
+        return live.join(sketches.select("fp", "s", "sk"), ["fp", "s"])
+
+    def grown(new: DataFrame) -> DataFrame:
+        return written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(written(new, "sketch-links"))), "sketch-roots")
+
+    several = [F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")]
+    for first, end in ((0, FIRST_BANDS), (FIRST_BANDS, BANDS)):
+        keys = written(keyed(first, end).groupBy("k", "v").agg(*several).where("low < high").select("k", "v", F.ceil(F.col("n") / chunk).cast("int").alias("n")), "sketch-keys")
+        i = F.pmod(F.xxhash64("fp", "k"), F.col("n")).cast("int")
+        roots = grown(sketch_links(joined(keyed(first, end), keys).withColumns({"i": i, "j": i}), need))
+    found = keyed(0, BANDS)
+    hot = written(found.groupBy("k", "v").agg(*several).where((F.col("low") < F.col("high")) & (F.col("n") > chunk)).select("k", "v"), "sketch-hot")
+    if hot.isEmpty():
+        return roots
+    sizes = written(found.join(hot, ["k", "v"]).groupBy("k", "v", "root").agg(F.count("*").alias("n")), "sketch-sizes")
+    parts = sizes.groupBy("k", "v").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    parts = written(parts.select("k", "v", "main", F.ceil(F.col("most") / chunk).cast("int").alias("p"), F.ceil((F.col("n") - F.col("most")) / chunk).cast("int").alias("m")), "sketch-parts")
+    other = F.col("root") != F.col("main")
+    place = F.xxhash64("fp", "k")
+    own = F.when(other, F.pmod(place, F.col("m"))).otherwise(F.col("m") + F.pmod(place, F.col("p"))).cast("int")
+    dealt = joined(found, parts).withColumn("own", own).withColumn("x", F.explode(F.sequence(F.lit(0), F.when(other, F.col("m") + F.col("p") - 1).otherwise(F.col("m") - 1))))
+    return grown(sketch_links(dealt.withColumns({"i": F.least("own", "x"), "j": F.greatest("own", "x")}), need))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 3, similarity: float | None = None, chunk: int = CHUNK) -> DataFrame:
+    """id, fp, component_id (the least id reachable over links, its own included) for each row.
+
+    Links are fingerprints of up to so many differing bits and, if a similarity is given, texts that share that part of
+    their distinct shingles, as estimated from sketches.
 
     Null texts and texts without words have fingerprint 0 and link like any other. A null id never becomes a component_id
     unless no row of the component has another. Repeated rows are one node and come back repeated; an empty table gives an
     empty one. Other columns are not read, so their names cannot clash.
     """
-    marked = written(fingerprints(df, id_col, text_col, shingle), "simhash")
+    marked = written(fingerprints(df, id_col, text_col, shingle, similarity is not None), "simhash")
     nodes = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    roots = written(components(links(nodes.select("fp"), bits)), "simhash-roots")
+    roots = written(components(links(nodes.select("fp"), bits, chunk)), "simhash-roots")
+    if similarity is not None:
+        roots = sketch_roots(marked, roots, similarity, chunk)
     joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(joined.join(least, "root").select(F.col("fp").alias("node"), "component_id"), "simhash-named")

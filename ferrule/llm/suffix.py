@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm._shared import map_batches, shipped, worker_cache, written
+from ferrule.llm._shared import map_batches, mixed, shipped, worker_cache, written
 
 shipped(__name__)
 
@@ -160,12 +160,6 @@ def constants(step: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return kept[key]
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 def slide(x: np.ndarray, w: int, most: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs [begin, end) of windows of w values that have the same leftmost least value, and where that is."""
     low, size = x, 1
