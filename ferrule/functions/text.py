@@ -14,30 +14,41 @@ def _stop(c: Column) -> Column:
     return c.isin(*STOP_WORDS)
 
 
-def identifier_parts(word: Column) -> Column:
-    """Lower-case parts of an identifier: split at anything but letters and digits, and at camel-case boundaries."""
+def _marked(word: Column) -> Column:
+    """ASCII letters in lower case, an underscore at each camel-case boundary."""
     for pattern, to in CAMEL:
         word = F.regexp_replace(word, pattern, to)
-    return F.filter(F.split(F.lower(word), "[^a-z0-9]+"), lambda p: p != "")
+    return F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def identifier_parts(word: Column) -> Column:
+    """Lower-case parts of an identifier: split at anything but letters and digits, and at camel-case boundaries."""
+    return F.filter(F.split(_marked(word), "[^a-z0-9]+"), lambda p: p != "")
 
 
 def tokenize(text: Column) -> Column:
     """Search terms in order: identifier parts without stop words, then the joined word if it had several parts; of an
-    ideograph run its characters without stop words and then all its pairs. Null gives an empty array."""
-    segments = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[{CJK}]+|[a-zA-Z0-9_]+"), F.lit(0))
+    ideograph run its characters without stop words and then all its pairs. Null gives an empty array.
+
+    Boundaries are marked in the whole text at once. Texts of plain words, which most are, need just a split and a filter.
+    """
+    marked = _marked(F.coalesce(text, F.lit("")))
+    segments = F.regexp_extract_all(marked, F.lit(f"[{CJK}]+|[a-z0-9_]+"), F.lit(0))
+    none = F.array().cast("array<string>")
 
     def word(s: Column) -> Column:
-        parts = identifier_parts(s)
-        kept = F.filter(parts, lambda p: ~_stop(p))
-        whole = F.lower(F.regexp_replace(s, "_", ""))
-        return F.when((F.size(parts) > 1) & ~_stop(whole) & ~F.array_contains(kept, whole), F.concat(kept, F.array(whole))).otherwise(kept)
+        kept = F.filter(F.split(s, "_+"), lambda p: (p != "") & ~_stop(p))
+        whole = F.replace(s, F.lit("_"), F.lit(""))
+        several = s.rlike("[a-z0-9]_+[a-z0-9]")
+        return F.when(several & ~_stop(whole) & ~F.array_contains(kept, whole), F.concat(kept, F.array(whole))).otherwise(kept)
 
     def run(s: Column) -> Column:
         chars = F.filter(F.split(s, ""), lambda c: (c != "") & ~_stop(c))
-        pairs = F.when(F.length(s) > 1, F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substr(s, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+        pairs = F.when(F.length(s) > 1, F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substr(s, i, F.lit(2)))).otherwise(none)
         return F.concat(chars, pairs)
 
-    return F.flatten(F.transform(segments, lambda s: F.when(s.rlike(f"^[{CJK}]"), run(s)).otherwise(word(s))))
+    mixed = F.flatten(F.transform(segments, lambda s: F.when(s >= "{", run(s)).when(s.contains("_"), word(s)).when(_stop(s), none).otherwise(F.array(s))))
+    return F.when(marked.rlike(f"[_{CJK}]"), mixed).otherwise(F.filter(segments, lambda s: ~_stop(s)))
 
 
 def tokenize_unique(text: Column) -> Column:
@@ -117,3 +128,52 @@ def canonical_id(path: Column, fqn: Column, overload: Column) -> Column:
 def iso_time(text: Column) -> Column:
     """ISO 8601 to a timestamp; without a zone it is the session's (UTC); null if malformed."""
     return F.try_to_timestamp(text)
+
+
+def embedding_input(name: Column, signature: Column, doc: Column, most: int = 400) -> Column:
+    """Name, signature and the first characters of the text, those that there are."""
+    return F.trim(F.concat_ws(" ", name, signature, F.left(doc, F.lit(most))))
+
+
+def strip_generics(text: Column, depth: int = 6) -> Column:
+    """Without balanced <...>, the innermost first; so many levels deep."""
+    for _ in range(depth):
+        text = F.regexp_replace(text, "<[^<>]*>", "")
+    return text
+
+
+def parameters(signature: Column) -> Column:
+    """What stands between commas outside brackets and quotes in the first pair of parentheses; no receivers, no / and *."""
+    inner = F.regexp_extract(signature, r"(?s)\((.*)\)", 1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, c: Column) -> Column:
+        quoted = a["quote"] != ""
+        cut = (c == ",") & (a["depth"] == 0) & ~quoted
+        depth = F.when(quoted, a["depth"]).when(c.isin("(", "[", "{", "<"), a["depth"] + 1).when(c.isin(")", "]", "}", ">") & (a["depth"] > 0), a["depth"] - 1).otherwise(a["depth"])
+        quote = F.when(quoted & (c == a["quote"]), "").when(~quoted & c.isin("'", '"'), c).otherwise(a["quote"])
+        return F.struct(depth.alias("depth"), quote.alias("quote"), F.when(cut, "").otherwise(F.concat(a["now"], c)).alias("now"), F.when(cut, F.concat(a["out"], F.array(a["now"]))).otherwise(a["out"]).alias("out"))
+
+    split = F.aggregate(F.filter(F.split(inner, ""), lambda c: c != ""), start, step, lambda a: F.concat(a["out"], F.array(a["now"])))
+    return F.filter(F.transform(split, lambda x: F.trim(x)), lambda x: ~x.isin("", "self", "cls", "this", "/", "*"))
+
+
+def plain_json(text: Column) -> Column:
+    """JSON with comments and trailing commas as JSON; what stands in strings stays."""
+    string = r'("(?:\\.|[^"\\])*")'
+    text = F.regexp_replace(text, rf"(?s){string}|//[^\n]*|/\*.*?\*/", "$1")
+    return F.regexp_replace(text, rf"(?s){string}|,(?=\s*[}}\]])", "$1")
+
+
+def useful_lines(text: Column, drop: str = r"(?i)licen[sc]e|copyright|spdx-") -> Column:
+    """The lines without licence lines and without blank ones that follow a blank one; at least the first line."""
+    ls = F.split(text, "\n")
+    blank = lambda x: ~x.rlike("[^ \t\r]")
+    kept = F.filter(ls, lambda x, i: ~x.rlike(drop) & ~(blank(x) & (i > 0) & F.coalesce(blank(F.get(ls, i - 1)), F.lit(False))))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.slice(ls, 1, 1))
+
+
+def table_cells(row: Column) -> Column:
+    """The cells of a pipe-table row; an escaped pipe is part of its cell."""
+    body = F.regexp_replace(F.regexp_replace(F.trim(row), r"^\|", ""), r"(?<!\\)\|$", "")
+    return F.transform(F.split(body, r"(?<!\\)\|"), lambda x: F.replace(F.trim(x), F.lit("\\|"), F.lit("|")))

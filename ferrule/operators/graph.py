@@ -82,3 +82,47 @@ def best_tier(candidates: DataFrame, key: str = "site") -> DataFrame:
     """Rows of each key's least tier."""
     best = candidates.groupBy(key).agg(F.min("tier").alias("tier"))
     return candidates.join(best, [key, "tier"])
+
+
+def resolve(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted, id, tier: the symbols (id, name, fqn) of each wanted name's best tier: full name, name, both in any case."""
+    keys = symbols.select("id", "name", "fqn", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("fqn")))).alias("_k"))
+    both = wanted.select("wanted").distinct().withColumn("_k", F.lower("wanted")).join(keys, "_k")
+    tier = F.when(F.col("fqn") == F.col("wanted"), 1).when(F.col("name") == F.col("wanted"), 2).when(F.lower("fqn") == F.col("_k"), 3).otherwise(4)
+    return best_tier(both.select("wanted", "id", tier.alias("tier")), "wanted")
+
+
+def siblings(symbols: DataFrame, keys: list[str]) -> DataFrame:
+    """src, dst: each symbol to the least of its group (keys); groups of one have none. A star, so rows stay in proportion."""
+    least = symbols.groupBy(*keys).agg(F.min("id").alias("dst"))
+    return symbols.join(least, keys).where(F.col("id") != F.col("dst")).select(F.col("id").alias("src"), "dst")
+
+
+def declares(symbols: DataFrame, headers: tuple[str, ...] = ("h", "hpp", "hh", "hxx"), bodies: tuple[str, ...] = ("c", "cc", "cpp", "cxx")) -> DataFrame:
+    """src, dst: header symbols and those of the same stem and full name in implementation files."""
+    ext, stem = F.lower(F.regexp_extract("file_path", r"\.([^./]+)$", 1)), F.regexp_extract("file_path", r"([^/]+)\.[^./]+$", 1)
+    named = symbols.select("id", "fqn", ext.alias("ext"), stem.alias("stem"))
+    return named.where(F.col("ext").isin(*headers)).withColumnRenamed("id", "src").join(named.where(F.col("ext").isin(*bodies)).withColumnRenamed("id", "dst"), ["stem", "fqn"]).select("src", "dst")
+
+
+def group_callers(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """group, src: who calls any member (group, node) of a group of overloads."""
+    return edges.join(members, F.col("dst") == F.col("node")).select("group", "src").distinct()
+
+
+def best_candidate(candidates: DataFrame, key: str = "site") -> DataFrame:
+    """site, candidate, points: of each key the candidate of most points, if above 0; ties to the lesser."""
+    total = candidates.where("points > 0").groupBy(key).agg(F.min(F.struct((-F.col("points")).alias("p"), "candidate")).alias("b"))
+    return total.select(key, F.col("b.candidate").alias("candidate"), (-F.col("b.p")).alias("points"))
+
+
+def overload(candidates: DataFrame, key: str, arity: int) -> DataFrame:
+    """Of each key the first candidate (by position) that takes so many arguments, else the first."""
+    pick = F.min(F.struct((F.col("arity") != arity).alias("other"), "position", "candidate"))
+    return candidates.groupBy(key).agg(pick.alias("b")).select(key, F.col("b.candidate").alias("candidate"))
+
+
+def merge_parts(types: DataFrame, keys: list[str]) -> DataFrame:
+    """Partial types as one: distinct members (name, kind, signature) and bases, documentation joined in order of id."""
+    docs = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "doc"))), lambda x: x["doc"]), "\n")
+    return types.groupBy(*keys).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("bases")))).alias("bases"), docs.alias("doc"), F.min("id").alias("id"))

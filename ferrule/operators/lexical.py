@@ -42,6 +42,11 @@ def query_terms(text: str, spark) -> list[str]:
     return spark.range(1).select(tokenize(F.lit(text))).first()[0]
 
 
+def once(value: Column) -> Column:
+    """value from a generator of one row: the optimizer doesn't copy what is below into each use of it."""
+    return F.explode(F.array(value))
+
+
 def search(symbols: DataFrame, text: str, where: Column | None = None, min_score: float = 0.0, limit: int | None = 10, id_col: str = "id", weight: Column | None = None) -> DataFrame:
     """doc, score, matched terms: the best documents. Ties go to the lesser id.
 
@@ -53,9 +58,10 @@ def search(symbols: DataFrame, text: str, where: Column | None = None, min_score
     if not terms:
         return symbols.select(F.col(id_col).alias("doc"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched")).limit(0)
     own = sorted(set(terms))
-    tokens = symbols.select("*", *(tokenize(F.col(f)).alias(f"_t_{f}") for f in FIELDS))
-    tf = {(f, i): F.size(F.filter(F.col(f"_t_{f}"), lambda x: x == t)).alias(f"_{i}_{f}") for f in FIELDS for i, t in enumerate(own)}  # noqa: B023
-    counted = tokens.select(*symbols.columns, *(F.size(f"_t_{f}").alias(f"_l_{f}") for f in FIELDS), *tf.values())
+    tokens = symbols.select("*", once(F.struct(*(tokenize(F.col(f)).alias(f) for f in FIELDS))).alias("_t"))
+    found = tokens.select(*symbols.columns, once(F.struct(*(F.size(F.col("_t")[f]).alias(f"l_{f}") for f in FIELDS), *(F.filter(F.col("_t")[f], lambda x: x.isin(*own)).alias(f) for f in FIELDS))).alias("_f"))
+    tf = {(f, i): F.size(F.filter(F.col("_f")[f], lambda x: x == t)).alias(f"_{i}_{f}") for f in FIELDS for i, t in enumerate(own)}  # noqa: B023
+    counted = found.select(*symbols.columns, *(F.col("_f")[f"l_{f}"].alias(f"_l_{f}") for f in FIELDS), *tf.values())
     hit = lambda i: reduce(lambda a, b: a | b, (F.col(f"_{i}_{f}") > 0 for f in FIELDS))
     n = F.count("*")
     stats = counted.agg(n.alias("_docs"), *(F.greatest(F.lit(1.0), F.coalesce(F.sum(f"_l_{f}") / n, F.lit(1.0))).alias(f"_a_{f}") for f in FIELDS), *(F.count_if(hit(i)).alias(f"_df_{i}") for i in range(len(own))))
@@ -101,3 +107,51 @@ def adaptive_cut(ranked: DataFrame, score: str = "score", tie: str = "doc", of_t
     cut = (rank > keep) & ((F.col(score) < top * of_top) | (F.col(score) < prev * of_previous))
     out = ranked.withColumn("rank", rank.cast("long")).withColumn("_cut", cut.cast("int"))
     return out.withColumn("_cut", F.max("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_cut = 0").drop("_cut")
+
+
+def write_index(symbols: DataFrame, path: str, parts: int = 64, id_col: str = "id") -> None:
+    """Postings by a hash of their term, lengths, and one row of statistics, as Parquet tables under path."""
+    index = postings(symbols, id_col).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    index.repartition(parts, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    lengths(symbols, id_col).write.mode("overwrite").parquet(f"{path}/lengths")
+    own = symbols.sparkSession.read.parquet(f"{path}/lengths")
+    statistics(own).withColumn("parts", F.lit(parts)).write.mode("overwrite").parquet(f"{path}/statistics")
+
+
+def search_index(spark, path: str, text: str, limit: int | None = 10) -> DataFrame:
+    """doc, score, matched from an index: only the parts of the query's terms are read, and of them only these terms' row groups.
+
+    As search, without filters and without the boost for exact names, which an index does not hold.
+    """
+    terms = query_terms(text, spark)
+    stats = spark.read.parquet(f"{path}/statistics").first()  # one row
+    own = {t: terms.count(t) for t in terms}
+    if stats is None or not terms:
+        return spark.createDataFrame([], "doc string, score double, matched long")
+    asked = spark.createDataFrame(list(own.items()), "term string, times int").withColumn("part", F.pmod(F.xxhash64("term"), F.lit(stats["parts"])).cast("int"))
+    parts = sorted({r["part"] for r in asked.collect()})  # a row a term of the query
+    found = spark.read.parquet(f"{path}/postings").where(F.col("part").isin(*parts) & F.col("term").isin(*own)).drop("part")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    rows = found.join(F.broadcast(df.join(asked.drop("part"), "term")), "term").join(spark.read.parquet(f"{path}/lengths"), "doc")  # the broadcast has a row a term
+    field = lambda f, w: w * F.col(f"f_{f}") * (K1 + 1) / (F.col(f"f_{f}") + K1 * (1 - B) + 1e-9 + K1 * B / stats[f"a_{f}"] * F.greatest(F.col(f"l_{f}"), F.lit(1)))
+    score = F.col("times") * idf(F.col("df"), F.lit(stats["docs"])) * reduce(lambda a, b: a + b, (field(f, w) for f, w in FIELDS.items()))
+    out = rows.groupBy("doc").agg(F.sum(score).alias("score"), F.count("*").alias("matched")).where("score > 0")
+    if len(terms) >= 3:
+        out = out.where(F.col("matched") / len(terms) >= 0.5)
+    return out if limit is None else out.orderBy(F.desc("score"), "doc").limit(limit)
+
+
+def patched(index: DataFrame, dirty: DataFrame, new: DataFrame) -> DataFrame:
+    """Postings (or lengths) without those of dirty documents (column doc), and the new ones."""
+    return index.join(dirty.select("doc").distinct(), "doc", "left_anti").unionByName(new)
+
+
+def render_cut(ranked: DataFrame, score: str = "score", tie: str = "doc", most: int = 15) -> DataFrame:
+    """What is worth showing of a short ranked list: a fifth of the best, and 0.5 if the best has that; from the fourth row on
+    no fall below 0.4 of the one before or 0.15 of the best. At most so many, at least one."""
+    order = Window.orderBy(F.desc(score), tie)
+    rank, prev, top = F.row_number().over(order), F.lag(score).over(order), F.first(score).over(order)
+    low = F.greatest(top * 0.2, F.when(top >= 0.5, 0.5).otherwise(0.0))
+    cut = (rank > 1) & ((F.col(score) < low) | (rank > 3) & ((F.col(score) < prev * 0.4) | (F.col(score) < top * 0.15)) | (rank > most))
+    out = ranked.withColumn("rank", rank.cast("long")).withColumn("_cut", cut.cast("int"))
+    return out.withColumn("_cut", F.max("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_cut = 0").drop("_cut")

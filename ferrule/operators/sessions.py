@@ -66,3 +66,46 @@ def attribute_output(steps: DataFrame) -> DataFrame:
     last = F.last(F.when(F.col("tools") > 0, F.struct("step", "tools")), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
     out = steps.withColumn("_p", last).where("is_output AND _p IS NOT NULL")
     return out.select("conv_id", "step", F.col("_p.step").alias("planner"), F.greatest(F.lit(1), F.bround(F.col("tokens") / F.col("_p.tools")).cast("long")).alias("share"))
+
+
+def modes(events: DataFrame, *sets: str) -> DataFrame:
+    """Calls and failures by each of these columns alone, in one pass; the columns not grouped by are null."""
+    cols = [F.col(c) for c in sets]
+    return events.groupingSets([[c] for c in cols], *cols).agg(F.count("*").alias("calls"), F.count_if("failed").alias("failures"))
+
+
+def ratchet(samples: DataFrame, actor: str, value: str, step: float) -> DataFrame:
+    """Per actor the longest row of growths of at least step that no fall interrupts, and the last value by the first."""
+    order = Window.partitionBy(actor).orderBy("ts", "id")
+    grown = samples.withColumn("_d", F.col(value) - F.lag(value).over(order))
+    grown = grown.withColumn("_r", F.sum(F.when(F.col("_d") < 0, 1).otherwise(0)).over(order))
+    runs_ = grown.groupBy(actor, "_r").agg(F.count_if(F.col("_d") >= step).alias("streak"), F.min_by(value, F.struct("ts", "id")).alias("first"), F.max_by(value, F.struct("ts", "id")).alias("last"))
+    return runs_.groupBy(actor).agg(F.max("streak").alias("streak"), F.max(F.col("last") - F.col("first")).alias("growth"))
+
+
+def longest_run(steps: DataFrame, actor: str, order: str, counts: Column, resets: Column) -> DataFrame:
+    """Per actor the most counted rows between two that reset."""
+    w = Window.partitionBy(actor).orderBy(order)
+    parts = steps.withColumn("_p", F.sum(F.when(resets, 1).otherwise(0)).over(w))
+    return parts.groupBy(actor, "_p").agg(F.count_if(counts).alias("n")).groupBy(actor).agg(F.max("n").alias("longest"))
+
+
+def repeated_reads(steps: DataFrame, actor: str, order: list[str], edit: Column, key: str) -> DataFrame:
+    """Per actor the reads of a key already read since the last edit."""
+    parts = steps.withColumn("_p", F.sum(F.when(edit, 1).otherwise(0)).over(Window.partitionBy(actor).orderBy(*order)))
+    reads = parts.where(~edit).groupBy(actor, "_p", key).agg((F.count("*") - 1).alias("n"))
+    return reads.groupBy(actor).agg(F.sum("n").alias("repeated"))
+
+
+def baseline(samples: DataFrame, actor: str, value: str, first: int = 3, least: float = 256.0) -> DataFrame:
+    """Per actor the median of its first samples, at least so much."""
+    w = Window.partitionBy(actor).orderBy("ts", "id")
+    head = samples.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= first)
+    return head.groupBy(actor).agg(F.greatest(F.lit(least), F.median(value)).alias("baseline"))
+
+
+def efficiency(steps: DataFrame, by: str, amount: str, wasted: Column) -> DataFrame:
+    """Per group: all, what was wasted (no more than all), and the useful percentage."""
+    waste = F.least(F.sum(amount), F.coalesce(F.sum(F.when(wasted, F.col(amount))), F.lit(0)))
+    out = steps.groupBy(by).agg(F.sum(amount).alias("total"), waste.alias("waste"))
+    return out.withColumn("pct", F.when(F.col("total") > 0, F.round(100 * (F.col("total") - F.col("waste")) / F.col("total"), 1)).otherwise(F.lit(100.0)))
