@@ -282,14 +282,16 @@ def media_features(df: DataFrame, id_col: str = "doc_id", media_col: str = "medi
         for batch in batches:
             rows = []
             for at in range(batch.num_rows):
-                media = batch.column(1)[at].as_py()
+                media = batch.column(1)[at].as_py() or b""
                 try:
-                    images = decode(media or b"")
+                    images = decode(media)
+                    if not images:
+                        raise ValueError("no image")
                     payload = b"".join(p.tobytes() for _, _, p in images)
-                    height, width = sum(h for _, h, _ in images), max((w for w, _, _ in images), default=0)
+                    height, width = sum(h for _, h, _ in images), max(w for w, _, _ in images)
                     hashes = [average_hash(p) for _, _, p in images]
-                    feature = f"{width}x{height};frames={len(images)};ahash={hashes[0] if len(hashes) == 1 else hashlib.sha256(''.join(hashes).encode()).hexdigest()[:16]}" if images else None
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media or b""), hashlib.sha256(media or b"").hexdigest(), width, height, feature, None if images else "no image"))
+                    feature = f"{width}x{height};frames={len(images)};ahash={hashes[0] if len(hashes) == 1 else hashlib.sha256(''.join(hashes).encode()).hexdigest()[:16]}"
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), width, height, feature, None))
                 except (ValueError, KeyError, IndexError, struct.error, StopIteration) as e:
                     rows.append((None, None, None, len(media), hashlib.sha256(media).hexdigest(), None, None, None, str(e) or type(e).__name__))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
