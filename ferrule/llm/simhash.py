@@ -7,7 +7,8 @@ rounds of large-star and small-star steps over these forests, each round a table
 
 Blocks give all links of a few bits, but texts that share four fifths of their shingles differ in some ten bits of 64, for
 which no split into blocks is selective. So where a similarity is asked for, each text also has a sketch of minima of its
-shingles' hashes. Bands of the sketch are blocks of a second kind; whole sketches verify, in the same bounded units of work.
+shingles' hashes. Bands of the sketch are blocks of a second kind. Whole sketches only pick candidates; the sets of shingle
+hashes verify, in the same bounded units of work.
 """
 
 from __future__ import annotations
@@ -36,8 +37,11 @@ BITS = 64
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: A sketch's bands and the minima in each: at similarity 0.8 a pair shares a band with probability 0.998.
 BANDS, ROWS = 21, 6
-#: What an estimate may fall short of the similarity asked for; its standard deviation there is 0.036.
-MARGIN = 0.05
+#: What a candidate's estimate may fall short of the similarity asked for; its standard deviation there is 0.036, and of pairs
+#: at 0.8 a part of 0.00006 falls lower. Candidates are then verified exactly.
+MARGIN = 0.15
+#: Shingles in a chunk of a key, where texts are long.
+SHINGLES = 1 << 19
 #: Bands of the first step; the rest only look at keys that these have not made one component.
 FIRST_BANDS = 3
 #: Shingles whose minima are taken at a time.
@@ -86,8 +90,14 @@ def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
     return Marks(text, shingle, False, seed).fingerprint()
 
 
+def text_key(text: Column) -> dict[str, Column]:
+    """Two hashes that tell texts apart; a null text is one of its own."""
+    return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit("t2"), text, text.isNull())}
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, sketch: bool = False) -> DataFrame:
-    """id and fp (the fingerprint as a signed long) of each row, and if asked for sk and ks (the sketch and its bands' keys).
+    """id and fp (the fingerprint as a signed long) of each row; if asked for, t1 and t2 (the text's key), n (its shingles,
+    repeats included), sk and ks (the sketch and its bands' keys).
 
     A null text has no words, so fingerprint 0 and no keys.
     """
@@ -99,11 +109,31 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             marks = [Marks(batch.column(1)[i].as_py(), shingle, sketch) for i in range(batch.num_rows)]
             columns = {"id": batch.column(0), "fp": pa.array(np.array([m.fingerprint() for m in marks], np.uint64).view(np.int64))}
             if sketch:
+                columns |= {"t1": batch.column(2), "t2": batch.column(3), "n": pa.array([m.n for m in marks], pa.int64())}
                 columns |= {"sk": pa.array([m.least.astype(np.uint8).tobytes() for m in marks], pa.binary()), "ks": pa.array([m.bands() for m in marks], pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_pydict(columns)
 
     kind = dict(df.dtypes)[id_col]
-    return map_batches(df, [id_col, text_col], f"id {kind}, fp long" + ", sk binary, ks array<long>" * sketch, run)
+    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if sketch:
+        own = own.select("id", "text", *(v.alias(k) for k, v in text_key(F.col("text")).items()))
+    return map_batches(own, own.columns, f"id {kind}, fp long" + ", t1 long, t2 long, n long, sk binary, ks array<long>" * sketch, run)
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """t1, t2 and set (the sorted distinct hashes of the shingles, as bytes) of texts (t1, t2, text)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = []
+            for i in range(batch.num_rows):
+                parts = [np.unique(h) for h in hashed(batch.column(2)[i].as_py(), shingle)]
+                sets.append(np.unique(np.concatenate(parts)).tobytes() if parts else b"")
+            yield pa.RecordBatch.from_pydict({"t1": batch.column(0), "t2": batch.column(1), "set": pa.array(sets, pa.binary())})
+
+    return map_batches(texts, ["t1", "t2", "text"], "t1 long, t2 long, set binary", run)
 
 
 def blocks(n: int) -> list[tuple[int, int]]:
@@ -207,25 +237,71 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def sketch_forest(fps: list[int], sketches: list[bytes], need: int) -> set[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs whose sketches agree in so many minima."""
-    table = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(fps), -1)
-    left, out = np.arange(1, len(fps)), set()
-    queue = [0]
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of hashes (sorted, distinct) share that part of their union."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (len(both) - shared) - 1e-9
+
+
+def set_forest(roots: list[int], sketches: list[bytes], sets: list[bytes], need: int, similarity: float) -> set[tuple[int, int]]:
+    """Edges between roots that connect just what all pairs of texts at this similarity do.
+
+    Members of one root are connected already, so only candidates of different roots are verified.
+    """
+    table, roots = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(roots), -1), np.array(roots, np.int64)
+    own = [np.frombuffer(x, np.uint64) for x in sets]
+    left, out, queue = np.arange(1, len(roots)), set(), [0]
     while len(left):
         if not queue:
             queue, left = [left[0]], left[1:]
         at = queue.pop()
-        near = (table[left] == table[at]).sum(1) >= need
-        out.update((fps[at], fps[x]) for x in left[near] if fps[at] != fps[x])
+        near = roots[left] == roots[at]
+        for k in np.flatnonzero(~near & ((table[left] == table[at]).sum(1) >= need)):
+            if near[k] or not alike(own[at], own[left[k]], similarity):
+                continue
+            out.add((int(roots[at]), int(roots[left[k]])))
+            near |= roots[left] == roots[left[k]]
         queue.extend(left[near])
         left = left[~near]
     return out
 
 
-def sketch_links(dealt: DataFrame, need: int) -> DataFrame:
-    """Links (a, b) found inside each unit (k, v, i, j) of dealt (fp, sk)."""
-    grouped = dealt.groupBy("k", "v", "i", "j").agg(F.collect_set(F.struct("fp", "sk")).alias("of")).where(F.size("of") > 1)
+def candidates(dealt: DataFrame, need: int) -> DataFrame:
+    """k, v, i, j, t1, t2, root, sk of the members of each unit of dealt with a partner of another root whose sketch agrees."""
+    grouped = dealt.groupBy("k", "v", "i", "j").agg(F.collect_set(F.struct("t1", "t2", "root", "sk")).alias("of"))
+    grouped = grouped.where((F.size("of") > 1) & (F.array_min("of.root") < F.array_max("of.root")))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            at, rows = [], []
+            for r in range(batch.num_rows):
+                of = batch.column(4)[r].as_py()
+                table, roots = np.frombuffer(b"".join(x["sk"] for x in of), np.uint8).reshape(len(of), -1), np.array([x["root"] for x in of], np.int64)
+                marked = np.zeros(len(of), bool)
+                for m in range(len(of) - 1):
+                    near = ((table[m + 1 :] == table[m]).sum(1) >= need) & (roots[m + 1 :] != roots[m])
+                    marked[m] |= near.any()
+                    marked[m + 1 :] |= near
+                found = np.flatnonzero(marked)
+                at += [r] * len(found)
+                rows += [of[m] for m in found]
+            keys = [batch.column(c).take(pa.array(at, pa.int64())) for c in range(4)]
+            fields = [pa.array([x[c] for x in rows], pa.binary() if c == "sk" else pa.int64()) for c in ("t1", "t2", "root", "sk")]
+            yield pa.RecordBatch.from_arrays(keys + fields, names=["k", "v", "i", "j", "t1", "t2", "root", "sk"])
+
+    return map_batches(grouped, ["k", "v", "i", "j", "of"], "k int, v long, i int, j int, t1 long, t2 long, root long, sk binary", run)
+
+
+def set_links(dealt: DataFrame, sets: DataFrame, need: int, similarity: float) -> DataFrame:
+    """Links (a, b) between roots found inside each unit (k, v, i, j) of dealt (t1, t2, root, sk), verified by sets."""
+    found = written(candidates(dealt, need), "sketch-candidates")
+    grouped = found.join(sets, ["t1", "t2"]).groupBy("k", "v", "i", "j").agg(F.collect_set(F.struct("root", "sk", "set")).alias("of"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -234,58 +310,67 @@ def sketch_links(dealt: DataFrame, need: int) -> DataFrame:
             edges = set()
             for i in range(batch.num_rows):
                 of = batch.column(0)[i].as_py()
-                edges |= sketch_forest([x["fp"] for x in of], [x["sk"] for x in of], need)
+                edges |= set_forest([x["root"] for x in of], [x["sk"] for x in of], [x["set"] for x in of], need, similarity)
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
     return map_batches(grouped, ["of"], "a long, b long", run)
 
 
-def sketch_roots(marked: DataFrame, roots: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
-    """node, root after joining components whose texts' sketches agree at this similarity, less MARGIN.
+def sketch_roots(marked: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, shingle: int, chunk: int = CHUNK) -> DataFrame:
+    """node, root after joining components with texts (t1, t2, text) that share this part of their distinct shingles.
 
     A key looks only at members of several components. Those over chunk members are first dealt into chunks, each a unit;
     what then still has several components has its largest one's chunks, which hold no news among themselves, meet only the
-    chunks of all others. So copies in any number cost rows in proportion, and no link is lost.
+    chunks of all others. So copies in any number cost rows in proportion, and no link is lost. Chunks hold fewer members
+    where texts are long.
     """
     s = similarity - MARGIN
     need = math.ceil((s + (1 - s) / 256) * BANDS * ROWS)
-    sketches = written(marked.where(F.size("ks") > 0).groupBy("fp", "sk").agg(F.first("ks").alias("ks")).withColumn("s", F.xxhash64("sk")), "sketches")
+    sketches = marked.where(F.size("ks") > 0).groupBy("t1", "t2").agg(F.first(F.struct("fp", "sk", "ks", "n")).alias("x"))
+    sketches = written(sketches.select("t1", "t2", "x.*"), "sketches")
 
     def keyed(first: int, end: int) -> DataFrame:
-        own = sketches.join(roots, sketches.fp == roots.node, "left").select("fp", "s", F.coalesce("root", "fp").alias("root"), F.slice("ks", first + 1, end - first).alias("ks"))
-        return own.select("fp", "s", "root", F.posexplode("ks").alias("k", "v"))
+        own = sketches.join(roots, sketches.fp == roots.node, "left").select("t1", "t2", "n", F.coalesce("root", "fp").alias("root"), F.slice("ks", first + 1, end - first).alias("ks"))
+        return own.select("t1", "t2", F.col("n").alias("size"), "root", F.posexplode("ks").alias("k", "v")).withColumn("k", F.col("k") + first)
 
     def joined(found: DataFrame, keys: DataFrame) -> DataFrame:
         live = written(found.join(keys, ["k", "v"]), "sketch-live")
-        return live.join(sketches.select("fp", "s", "sk"), ["fp", "s"])
+        return live.join(sketches.select("t1", "t2", "sk"), ["t1", "t2"])
 
     def grown(new: DataFrame) -> DataFrame:
         return written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(written(new, "sketch-links"))), "sketch-roots")
 
-    several = [F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")]
+    def chunks(n: str, size: str) -> Column:
+        return F.greatest(F.ceil(F.col(n) / chunk), F.ceil(F.col(size) / SHINGLES)).cast("int")
+
+    several = [F.count("*").alias("n"), F.sum("size").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")]
+    live = keyed(0, BANDS)
+    live = live.join(live.groupBy("k", "v").agg(*several).where("low < high").select("k", "v"), ["k", "v"], "left_semi").select("t1", "t2").distinct()
+    sets = written(shingle_sets(texts.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(live, ["t1", "t2"], "left_semi"), shingle), "sketch-sets")
     for first, end in ((0, FIRST_BANDS), (FIRST_BANDS, BANDS)):
-        keys = written(keyed(first, end).groupBy("k", "v").agg(*several).where("low < high").select("k", "v", F.ceil(F.col("n") / chunk).cast("int").alias("n")), "sketch-keys")
-        i = F.pmod(F.xxhash64("fp", "k"), F.col("n")).cast("int")
-        roots = grown(sketch_links(joined(keyed(first, end), keys).withColumns({"i": i, "j": i}), need))
+        keys = written(keyed(first, end).groupBy("k", "v").agg(*several).where("low < high").select("k", "v", chunks("n", "size").alias("n")), "sketch-keys")
+        i = F.pmod(F.xxhash64("t1", "k"), F.col("n")).cast("int")
+        roots = grown(set_links(joined(keyed(first, end), keys).withColumns({"i": i, "j": i}), sets, need, similarity))
     found = keyed(0, BANDS)
-    hot = written(found.groupBy("k", "v").agg(*several).where((F.col("low") < F.col("high")) & (F.col("n") > chunk)).select("k", "v"), "sketch-hot")
+    hot = written(found.groupBy("k", "v").agg(*several).where((F.col("low") < F.col("high")) & (chunks("n", "size") > 1)).select("k", "v"), "sketch-hot")
     if hot.isEmpty():
         return roots
-    sizes = written(found.join(hot, ["k", "v"]).groupBy("k", "v", "root").agg(F.count("*").alias("n")), "sketch-sizes")
-    parts = sizes.groupBy("k", "v").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    parts = written(parts.select("k", "v", "main", F.ceil(F.col("most") / chunk).cast("int").alias("p"), F.ceil((F.col("n") - F.col("most")) / chunk).cast("int").alias("m")), "sketch-parts")
+    sizes = written(found.join(hot, ["k", "v"]).groupBy("k", "v", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "sketch-sizes")
+    parts = sizes.groupBy("k", "v").agg(F.max_by(F.struct("root", "size"), F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    parts = parts.select("k", "v", "main.root", "most", F.col("main.size").alias("main_size"), (F.col("n") - F.col("most")).alias("rest"), (F.col("size") - F.col("main.size")).alias("rest_size"))
+    parts = written(parts.select("k", "v", F.col("root").alias("main"), chunks("most", "main_size").alias("p"), chunks("rest", "rest_size").alias("m")), "sketch-parts")
     other = F.col("root") != F.col("main")
-    place = F.xxhash64("fp", "k")
+    place = F.xxhash64("t1", "k")
     own = F.when(other, F.pmod(place, F.col("m"))).otherwise(F.col("m") + F.pmod(place, F.col("p"))).cast("int")
     dealt = joined(found, parts).withColumn("own", own).withColumn("x", F.explode(F.sequence(F.lit(0), F.when(other, F.col("m") + F.col("p") - 1).otherwise(F.col("m") - 1))))
-    return grown(sketch_links(dealt.withColumns({"i": F.least("own", "x"), "j": F.greatest("own", "x")}), need))
+    return grown(set_links(dealt.withColumns({"i": F.least("own", "x"), "j": F.greatest("own", "x")}), sets, need, similarity))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 3, similarity: float | None = None, chunk: int = CHUNK) -> DataFrame:
     """id, fp, component_id (the least id reachable over links, its own included) for each row.
 
     Links are fingerprints of up to so many differing bits and, if a similarity is given, texts that share that part of
-    their distinct shingles, as estimated from sketches.
+    their distinct shingles. Sketches find these pairs (at 0.8 with probability 0.998), their sets of hashes verify them.
 
     Null texts and texts without words have fingerprint 0 and link like any other. A null id never becomes a component_id
     unless no row of the component has another. Repeated rows are one node and come back repeated; an empty table gives an
@@ -295,7 +380,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     roots = written(components(links(nodes.select("fp"), bits, chunk)), "simhash-roots")
     if similarity is not None:
-        roots = sketch_roots(marked, roots, similarity, chunk)
+        texts = df.select(F.col(text_col).alias("text")).select("text", *(v.alias(k) for k, v in text_key(F.col("text")).items()))
+        roots = sketch_roots(marked, texts, roots, similarity, shingle, chunk)
     joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(joined.join(least, "root").select(F.col("fp").alias("node"), "component_id"), "simhash-named")

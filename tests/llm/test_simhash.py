@@ -105,3 +105,22 @@ def test_odd_tables(spark):
 def test_a_very_long_text():
     text = " ".join(map(str, range(150_000)))
     assert simhash.fingerprint(text, 3) == plain_fingerprint(text, 3)
+
+
+def test_pairs_are_verified_by_their_shingles(spark):
+    """Pairs just above and just below 0.8: those above are linked, none below is."""
+    r = random.Random(8)
+    rows, want = [], []
+    for pair in range(300):
+        base = ["".join(r.choices("abcdefghij", k=8)) for _ in range(204)]  # 200 shingles; each far change breaks five
+        near, breaks = list(base), r.choice((2, 4, 5, 6))
+        for i in range(breaks):
+            near[10 + i * 30] = f"new{pair}x{i}"
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(near))]
+        a, b = (set(shingles(t, 5)) for _, t in rows[-2:])
+        want.append(len(a & b) / len(a | b) >= 0.8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(df, shingle=5, similarity=0.8).collect()}
+    linked = [got[2 * p] == got[2 * p + 1] for p in range(300)]
+    assert not any(x and not w for x, w in zip(linked, want)), "linked below 0.8"
+    assert sum(w and not x for x, w in zip(linked, want)) <= 1, "lost at 0.8 or above"
