@@ -19,15 +19,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words a shingle, similarity 0.8) the document of least doc_id stays.
+    """Of each group of near-duplicates (five words a shingle, similarity 0.8) the document of least doc_id stays, null last.
 
-    Rows of one doc_id are told apart by text, and rows alike in both count once.
+    Rows of one doc_id are told apart by text, and rows alike in both count once. Each group keeps a row.
     """
     _shared.release(spark)
-    found = simhash.near_duplicates(docs, shingle=5, bits=3, similarity=0.8).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = _shared.written(found.groupBy("doc_id").agg(F.count("*").alias("n")), "pipeline-first")
-    joined = docs.join(first.withColumnRenamed("doc_id", "_id"), docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
-    return joined.groupBy("doc_id").agg(F.min_by(F.struct(*joined.columns), F.xxhash64("text")).alias("row")).select("row.*")
+    found = simhash.near_duplicates(docs, shingle=5, bits=3, similarity=0.8, keyed=True)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("row")
+    first = _shared.written(found.groupBy("root").agg(least).select("row.*").distinct(), "pipeline-first")
+    own = docs.select(F.struct(*docs.columns).alias("row"), docs.doc_id.alias("_id"), *(v.alias(f"_{k}") for k, v in simhash.text_key(docs.text).items()))
+    same = (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")) & F.col("_id").eqNullSafe(F.col("doc_id"))
+    joined = own.join(first, same, "left_semi")
+    return joined.groupBy("_id", "_t1", "_t2").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

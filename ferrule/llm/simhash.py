@@ -366,12 +366,14 @@ def sketch_roots(marked: DataFrame, texts: DataFrame, roots: DataFrame, similari
     return grown(set_links(dealt.withColumns({"i": F.least("own", "x"), "j": F.greatest("own", "x")}), sets, need, similarity))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 3, similarity: float | None = None, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 3, similarity: float | None = None, chunk: int = CHUNK, keyed: bool = False) -> DataFrame:
     """id, fp, component_id (the least id reachable over links, its own included) for each row.
 
     Links are fingerprints of up to so many differing bits and, if a similarity is given, texts that share that part of
     their distinct shingles. Sketches find these pairs (at 0.8 with probability 0.998), their sets of hashes verify them.
 
+    With a similarity, keyed adds t1 and t2 (the text's key) and root, which tells components apart even without an id.
+
     Null texts and texts without words have fingerprint 0 and link like any other. A null id never becomes a component_id
     unless no row of the component has another. Repeated rows are one node and come back repeated; an empty table gives an
     empty one. Other columns are not read, so their names cannot clash.
@@ -384,5 +386,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         roots = sketch_roots(marked, texts, roots, similarity, shingle, chunk)
     joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(joined.join(least, "root").select(F.col("fp").alias("node"), "component_id"), "simhash-named")
-    return marked.join(named, marked.fp == named.node, "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = written(joined.join(least, "root").select(F.col("fp").alias("node"), "component_id", "root"), "simhash-named")
+    return marked.join(named, marked.fp == named.node, "left").select(F.col("id").alias(id_col), "fp", "component_id", *(["t1", "t2", "root"] if keyed else []))

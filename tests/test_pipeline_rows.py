@@ -1,0 +1,18 @@
+"""The pipeline's near-dedup keeps a row of each group, also where ids are null or repeated."""
+
+import random
+
+import corpus_pipeline
+
+
+def test_rows_of_null_and_repeated_ids(spark):
+    r = random.Random(3)
+    text = lambda: " ".join("".join(r.choices("abcdefghij", k=8)) for _ in range(120))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = lambda t: t.replace(t.split()[60], "changed")
+    rows = [(1, a, "x"), (1, b, "x"), (0, near(b), "x"), (None, c, "x"), (None, d, "x"), (None, near(d), "x"), (None, a, "x"), (5, e, "x"), (5, e, "x"), (5, e, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_dedup(spark, df, "").collect()
+    assert sorted((x.doc_id is None, x.doc_id, x.text) for x in got if x.doc_id is not None) == sorted([(False, 0, near(b)), (False, 1, a), (False, 5, e)])
+    nulls = [x.text for x in got if x.doc_id is None]
+    assert len(nulls) == 2 and c in nulls and (d in nulls) != (near(d) in nulls)
