@@ -470,6 +470,12 @@ def requirement_gap(spark, d):
     return documents.gaps(words(table(spark, d, "benchmark")), words(table(spark, d, "documents").where("doc_id % 10 = 0")).distinct())
 
 
+@query("WITH r AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS id FROM benchmark), c AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS id FROM documents) SELECT id FROM r WHERE id NOT IN (SELECT id FROM c)")
+def requirement_gap_whole(spark, d):
+    words = lambda t: t.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("id"))
+    return documents.gaps(words(table(spark, d, "benchmark")), words(table(spark, d, "documents")).distinct())
+
+
 @query("SELECT doc_id, sha1(source || ':' || lang || ':' || n_chars || ':doc:' || doc_id) AS id FROM documents")
 def symbol_ids(spark, d):
     c = F.col
