@@ -237,6 +237,38 @@ def graph_patch(spark, d):
     return graph.patch(edges(spark, d).select("src", "dst"), old, spark.range(1).select(F.lit("s1").alias("src"), F.lit("p1").alias("dst")))
 
 
+def whole_edges(spark, d):
+    """As edges, from every row of lineitem."""
+    li = table(spark, d, "lineitem")
+    supplier, part, after = F.concat(F.lit("s"), F.col("l_suppkey")), F.concat(F.lit("p"), F.col("l_partkey")), F.concat(F.lit("s"), F.col("l_suppkey") + 1)
+    site = F.col("l_shipdate").cast("string").alias("site")
+    return li.select(supplier.alias("src"), part.alias("dst"), site).unionByName(li.select(part.alias("src"), after.alias("dst"), site))
+
+
+WHOLE_EDGES = "e0 AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_shipdate AS site FROM lineitem UNION ALL SELECT 'p' || l_partkey, 's' || (l_suppkey + 1), l_shipdate FROM lineitem), e AS (SELECT DISTINCT src, dst FROM e0)"
+WHOLE_IMPACT = IMPACT.replace(EDGES, WHOLE_EDGES)
+
+
+@query(f"WITH {WHOLE_EDGES} SELECT src, dst, count(DISTINCT site)::BIGINT AS sites FROM e0 GROUP BY src, dst")
+def edge_sites_whole(spark, d):
+    return graph.merge_sites(whole_edges(spark, d)).select("src", "dst", F.size("sites").cast("long").alias("sites"))
+
+
+@query(f"WITH {WHOLE_EDGES} SELECT src FROM e WHERE dst = 'p7'")
+def callers_whole(spark, d):
+    return graph.callers(whole_edges(spark, d), F.col("dst") == "p7")
+
+
+@query(f"WITH {WHOLE_EDGES} SELECT dst FROM e WHERE src = 's3'")
+def callees_whole(spark, d):
+    return graph.callees(whole_edges(spark, d), F.col("src") == "s3")
+
+
+@query(f"WITH {WHOLE_IMPACT} SELECT * FROM im")
+def impact_bfs_whole(spark, d):
+    return graph.impact(whole_edges(spark, d), seed(spark, "p7"), 3)
+
+
 @query("WITH h AS (SELECT n_name AS node, r_name AS base FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'world' FROM region) SELECT node, base AS ancestor, 1::BIGINT AS distance FROM h UNION SELECT h.node, g.base, 2 FROM h JOIN h g ON h.base = g.node")
 def type_ancestors(spark, d):
     n, r = table(spark, d, "nation"), table(spark, d, "region")
@@ -251,6 +283,13 @@ def classify_sites(spark, d):
     return graph.classify(li.unionByName(none))
 
 
+@query("WITH c AS (SELECT l_orderkey AS site, l_partkey AS c, l_suppkey AS p FROM lineitem UNION ALL SELECT o_orderkey, NULL, NULL FROM orders) SELECT site, CASE WHEN count(DISTINCT c) = 0 THEN 'unresolved' WHEN count(DISTINCT c) = 1 THEN 'resolved' WHEN count(DISTINCT p) = 1 THEN 'overload_group' ELSE 'ambiguous' END AS status, count(DISTINCT c) AS candidates FROM c GROUP BY site")
+def classify_sites_whole(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("site"), F.col("l_partkey").alias("candidate"), F.col("l_suppkey").alias("parent"), F.lit("f").alias("name"))
+    none = table(spark, d, "orders").select(F.col("o_orderkey").alias("site"), *(F.lit(None).cast(t).alias(c) for c, t in (("candidate", "long"), ("parent", "long"), ("name", "string"))))
+    return graph.classify(li.unionByName(none))
+
+
 @query("WITH c AS (SELECT l_orderkey AS site, l_partkey AS c, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS tier FROM lineitem) SELECT site, c AS candidate, tier FROM (SELECT *, min(tier) OVER (PARTITION BY site) AS m FROM c) WHERE tier = m")
 def scope_cascade(spark, d):
     li = table(spark, d, "lineitem")
@@ -361,6 +400,12 @@ def orphans(spark, d):
     return reconcile.orphans(table(spark, d, "part").select(F.col("p_partkey").alias("file_id")), li)
 
 
+@query("SELECT p_partkey AS file_id, count(DISTINCT l_suppkey) AS refs FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey")
+def history_refcounts_whole(spark, d):
+    refs = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("branch"), F.col("l_partkey").alias("file_id"))
+    return reconcile.reference_counts(table(spark, d, "part").select(F.col("p_partkey").alias("file_id")), refs)
+
+
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
 def last_wins(spark, d):
     return reconcile.last_wins(table(spark, d, "events").select("user_id", "event_type", "event_id"), "user_id", "event_id")
