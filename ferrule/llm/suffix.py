@@ -28,6 +28,8 @@ shipped(__name__)
 SPAN, GRAM = 200, 64
 #: Bytes hashed at a time; contents of an anchor that meet in one task; bits of the sketch of repeated anchors (16 MB).
 STEP, GROUP, SKETCH_BITS = 1 << 17, 1024, 27
+#: Runs whose windows are hashed together, but for an anchor that has more.
+BLOCK_ROWS = 2048
 SEED_2 = 0x5DEECE66D
 
 
@@ -355,18 +357,15 @@ def contexts(joined: DataFrame, span: int) -> DataFrame:
     return map_batches(joined, ["t1", "z", "asked"], "h long, m long, n long, t1 long, p long, run binary", run)
 
 
-def window_keys(h: np.ndarray, p: np.ndarray, content: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of each run: which run, its start in the document, and its hash with anchor and offset."""
+def window_keys(h: np.ndarray, p: np.ndarray, content: list[bytes], span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each window of each run: which run, its start in the document, and its hash with anchor and offset. In parts of STEP bytes."""
     byte, power, inverse = constants(STEP, span)
-    who, where, what = [], [], []
-    sizes = np.array([len(c) for c in content])
+    ends = np.cumsum([len(c) for c in content])
     at = 0
     while at < len(content):
-        end = at + 1
-        while end < len(content) and sizes[at : end + 1].sum() <= STEP:
-            end += 1
-        own = sizes[at:end]
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, "right")))
         buf = np.frombuffer(b"".join(content[at:end]), np.uint8)
+        own = np.array([len(c) for c in content[at:end]])
         total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(byte[buf] * power[: len(buf)], out=total[1:])
         counts = own - span + 1
@@ -375,11 +374,9 @@ def window_keys(h: np.ndarray, p: np.ndarray, content: list[bytes], span: int) -
         b = (np.cumsum(own) - own)[k] + o
         before = p[at:end][k] >> 8 & 255
         offset = (o - before + 1024).astype(np.uint64)
-        what.append(mixed((total[b + span] - total[b]) * inverse[b] ^ mixed(h[at:end][k].view(np.uint64) + offset * np.uint64(0x9E3779B97F4A7C15))))
-        who.append(k + at)
-        where.append((p[at:end][k] >> 16 & 0x7FFFFFFF) - before + o)
+        what = mixed((total[b + span] - total[b]) * inverse[b] ^ mixed(h[at:end][k].view(np.uint64) + offset * np.uint64(0x9E3779B97F4A7C15)))
+        yield k + at, (p[at:end][k] >> 16 & 0x7FFFFFFF) - before + o, what
         at = end
-    return (np.concatenate(who), np.concatenate(where), np.concatenate(what)) if who else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
 
 
 def compared(places: DataFrame, span: int) -> DataFrame:
@@ -390,7 +387,7 @@ def compared(places: DataFrame, span: int) -> DataFrame:
 
         def block(t: pa.Table) -> pa.RecordBatch:
             h, n, t1, p = (t.column(c).to_numpy() for c in ("h", "n", "t1", "p"))
-            who, where, what = window_keys(h, p, t.column("run").to_pylist(), span)
+            who, where, what = map(np.concatenate, zip(*window_keys(h, p, t.column("run").to_pylist(), span)))
             _, back, count = np.unique(what, return_inverse=True, return_counts=True)
             ok = (count[back] > 1) & (n[who] == 1)
             who, where = who[ok], where[ok]
@@ -400,19 +397,19 @@ def compared(places: DataFrame, span: int) -> DataFrame:
 
         held = None
         for batch in batches:
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            if held.num_rows < 8192:
-                continue
-            h = held.column("h").to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))  # rows come sorted by anchor; the last may go on
-            if cut:
-                for at in rows_cut(h[:cut], 8192):
-                    yield block(held.slice(at[0], at[1] - at[0]))
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                now = pa.Table.from_batches([batch.slice(start, BLOCK_ROWS)])
+                held = now if held is None else pa.concat_tables([held, now])
+                if held.num_rows < BLOCK_ROWS:
+                    continue
+                h = held.column("h").to_numpy()
+                cut = int(np.searchsorted(h, h[-1]))  # rows come sorted by anchor; the last may go on
+                for at, end in rows_cut(h[:cut], BLOCK_ROWS):
+                    yield block(held.slice(at, end - at))
                 held = held.slice(cut)
         if held is not None and held.num_rows:
-            for at in rows_cut(held.column("h").to_numpy(), 8192):
-                yield block(held.slice(at[0], at[1] - at[0]))
+            for at, end in rows_cut(held.column("h").to_numpy(), BLOCK_ROWS):
+                yield block(held.slice(at, end - at))
 
     return map_batches(places.repartition("h").sortWithinPartitions("h"), ["h", "n", "t1", "p", "run"], "t1 long, t2 long, s long", run)
 
@@ -434,9 +431,11 @@ def windows(places: DataFrame, span: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            h, n, t1, p = (batch.column(i).to_numpy() for i in range(4))
-            who, where, what = window_keys(h, p, batch.column(4).to_pylist(), span)
-            yield pa.RecordBatch.from_arrays([pa.array(what.view(np.int64)), pa.array(n[who]), pa.array(t1[who]), pa.array(p[who] >> 47), pa.array(where * 1024 + span)], names=["w", "n", "t1", "t2", "s"])
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(start, BLOCK_ROWS)
+                h, n, t1, p = (part.column(i).to_numpy() for i in range(4))
+                for who, where, what in window_keys(h, p, part.column(4).to_pylist(), span):
+                    yield pa.RecordBatch.from_arrays([pa.array(what.view(np.int64)), pa.array(n[who]), pa.array(t1[who]), pa.array(p[who] >> 47), pa.array(where * 1024 + span)], names=["w", "n", "t1", "t2", "s"])
 
     return map_batches(places, ["h", "n", "t1", "p", "run"], "w long, n long, t1 long, t2 long, s long", run)
 
