@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: str | None = None
 #: Tables written since the last release(), oldest first.
@@ -52,11 +53,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables written so far. Only for callers that hold no DataFrame over them any more."""
     while _tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _tables.pop())
+
+
+def repeated(table: DataFrame, count: str, number: str, block: int = 10_000) -> DataFrame:
+    """Each row of a written table as many times as count says, numbered from 0. Large counts are dealt to several tasks in blocks."""
+    few = table.where(F.col(count) <= block).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)))
+    many = table.where(F.col(count) > block).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(block).cast("long"))))
+    many = many.repartition("_from").withColumn(number, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + block, F.col(count)) - 1))).drop("_from")
+    return few.unionByName(many)
 
 
 def worker_cache() -> dict:

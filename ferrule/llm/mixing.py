@@ -1,8 +1,8 @@
 """Mixing sources to target weights: hash-random keys, prefix sums of word counts, a cut at each source's exact budget.
 
 A document's key is an MD5 of its id and text, so reruns agree. The key's leading digits split each source into ranges of
-near equal size; sums of the ranges give each range's offset, a window inside one range gives the rest. No source, however
-hot, meets in one task.
+near equal size; sums of the ranges give each range's offset, a window inside one range gives the rest. Rows alike in all are
+one row with a count. No source and no repeated row, however hot, meets in one task.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm._shared import written
+from ferrule.llm._shared import repeated, written
 
 WEIGHTS = (3, 1, 2)
 #: Share of all words, most epochs of a source, rows aimed at in a range of keys.
@@ -47,7 +47,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 
 def ordered(slim: DataFrame) -> DataFrame:
-    """slim (source, size, mix_key and more) with words_before: the words of the source's documents of lesser keys."""
+    """slim (source, words, mix_key and more) with words_before: the words of the source's documents of lesser keys."""
     rows = slim.count()
     digits = 1
     while digits < 8 and rows > RANGE_ROWS * 16**digits:
@@ -55,10 +55,22 @@ def ordered(slim: DataFrame) -> DataFrame:
     dealt = slim.withColumn("part", F.substring("mix_key", 1, max(2, digits)))
     name = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     dealt = dealt.withColumn("src", name)
-    sums = dealt.groupBy("src", "part").agg(F.sum("size").alias("words"))
+    sums = dealt.groupBy("src", "part").agg(F.sum("words").alias("words"))
     offsets = written(sums.withColumn("offset", F.coalesce(F.sum("words").over(Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("src", "part", "offset"), "mix-offsets")
     inside = Window.partitionBy("src", "part").orderBy("mix_key").rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["src", "part"]).withColumn("words_before", F.col("offset") + F.col("inside"))
+    return dealt.withColumn("inside", F.coalesce(F.sum("words").over(inside), F.lit(0))).join(offsets, ["src", "part"]).withColumn("words_before", F.col("offset") + F.col("inside"))
+
+
+def budgeted(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """A written table slim (source, mix_key, words and more) with source_size, target, full (epochs taken of all) and rest
+    (words of this row in the last, part epoch): a row's words are taken full times, and the first rest of them once more."""
+    sources = slim.groupBy("source").agg(F.sum("words").alias("source_size"))
+    goal = written(targets(sources, weights, share, epochs), "mix-targets")
+    goal = goal.select("source_size", "target", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("src"))
+    budget = F.round("target").cast("long")
+    joined = ordered(slim).join(goal, "src")
+    joined = joined.withColumn("full", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
+    return joined.withColumn("rest", F.greatest(F.lit(0), F.least(F.col("words"), budget - F.col("full") * F.col("source_size") - F.col("words_before"))))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -68,15 +80,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     from the text alone. Repeated rows are rows of their own. Sources without words have target 0. An empty table gives an
     empty one. Only three columns are read, so others' names cannot clash.
     """
-    slim = written(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), mix_key(F.col(id_col), F.col(text_col)).alias("mix_key")), "mix")
-    sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = written(targets(sources, weights, share, epochs), "mix-targets")
-    goal = goal.select("source_size", "target", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("src"))
-    budget = F.round("target").cast("long")
-    full = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - full * F.col("source_size")
-    taken = full * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("words_before")))
-    return ordered(slim).join(goal, "src").select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", taken.alias("taken"), "mix_key")
+    light = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), mix_key(F.col(id_col), F.col(text_col)).alias("mix_key"))
+    slim = written(light.groupBy("id", "source", "size", "mix_key").agg(F.count("*").alias("n")).withColumn("words", F.col("size") * F.col("n")), "mix")
+    rows = repeated(written(budgeted(slim, weights, share, epochs), "mix-taken"), "n", "k")
+    taken = F.col("full") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("k") * F.col("size")))
+    return rows.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", taken.alias("taken"), "mix_key")
 
 
 SQL = r"""

@@ -1,8 +1,9 @@
 """Quality rules: counts inside each document, and lines that too many documents of a host share.
 
-Lines are normalised (lower case, each run of anything but letters one space) and hashed. For each host the distinct texts
-that hold a line are counted, so copies of one page count once. Lines above the limits are removed; a document of which too
-few words stay is rejected. All with DataFrame functions.
+Lines are normalised (lower case, each run of anything but letters one space) and hashed. For each host the documents that
+hold a line are counted, repeated rows and copies among them, and so are their distinct texts: a line of one page's copies is
+no boilerplate. Lines above both limits, which are absolute and so hold at every size, are removed; a document of which too few
+words stay is rejected. All with DataFrame functions.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from ferrule.llm._shared import written
 
 MIN_WORDS, MOST_REPEATS, WINDOW = 20, 30, 8
-#: A line is boilerplate if in more texts of a host than both; a document is depleted if fewer words than these stay.
-LEAST_TEXTS, LINE_SHARE, WORDS_LEFT = 50, 0.2, 20
+#: A line is boilerplate if in more documents of a host than the first and in no fewer texts than the second; a document is
+#: depleted if fewer words than the third stay.
+MOST_DOCUMENTS, LEAST_TEXTS, WORDS_LEFT = 50, 10, 20
 WORD, SYMBOL = r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]"
 
 
@@ -47,15 +49,13 @@ def measured(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     return out.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)).drop("p")
 
 
-def judged(slim: DataFrame, least_texts: int = LEAST_TEXTS, line_share: float = LINE_SHARE, words_left: int = WORDS_LEFT) -> DataFrame:
+def judged(slim: DataFrame, most_documents: int = MOST_DOCUMENTS, least_texts: int = LEAST_TEXTS, words_left: int = WORDS_LEFT) -> DataFrame:
     """slim (from measured, written) with base_failed, removed (hashes of removed lines, null if none) and kept."""
-    texts = slim.groupBy("host", "k1", "k2").agg(F.first("lines").alias("lines"))
-    texts = written(texts.select(F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("none"), "k1", "k2", "lines"), "quality-texts")
-    rows = texts.select("host", "none", "k1", "k2", F.explode("lines").alias("l")).groupBy("host", "none", "k1", "k2", F.col("l.h").alias("h")).agg(F.sum("l.w").alias("w"))
-    rows = written(rows, "quality-lines")
-    counts = rows.groupBy("host", "none", "h").agg(F.count("*").alias("n"))
-    hosts = written(texts.groupBy("host", "none").agg(F.count("*").alias("docs")), "quality-hosts")
-    often = written(counts.join(hosts, ["host", "none"]).where((F.col("n") > least_texts) & (F.col("n") > line_share * F.col("docs"))).select("host", "none", "h"), "quality-often")
+    texts = slim.groupBy("host", "k1", "k2").agg(F.first("lines").alias("lines"), F.count("*").alias("copies"))
+    texts = texts.select(F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("none"), "k1", "k2", "copies", F.explode("lines").alias("l"))
+    rows = written(texts.groupBy("host", "none", "k1", "k2", F.col("l.h").alias("h")).agg(F.sum("l.w").alias("w"), F.first("copies").alias("copies")), "quality-lines")
+    counts = rows.groupBy("host", "none", "h").agg(F.sum("copies").alias("documents"), F.count("*").alias("texts"))
+    often = written(counts.where((F.col("documents") > most_documents) & (F.col("texts") >= least_texts)).select("host", "none", "h"), "quality-often")
     lost = written(rows.join(often, ["host", "none", "h"]).groupBy("host", "none", "k1", "k2").agg(F.sum("w").alias("lost"), F.collect_set("h").alias("removed")), "quality-lost")
     keyed = slim.drop("lines").withColumn("none", F.col("host").isNull()).withColumn("name", F.coalesce("host", F.lit("")))
     out = keyed.join(lost.withColumnRenamed("host", "name"), ["name", "none", "k1", "k2"], "left")
@@ -66,23 +66,29 @@ def judged(slim: DataFrame, least_texts: int = LEAST_TEXTS, line_share: float =
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, words_removed.
 
-    Null texts have no words, so they fail. A null host is a host of its own. Repeated rows get the same verdict and count as
-    one text; an empty table gives an empty one. Only three columns are read, so others' names cannot clash.
+    Null texts have no words, so they fail. A null host is a host of its own. Repeated rows get the same verdict; each counts as
+    a document, together as one text. An empty table gives an empty one. Only three columns are read, so others' names cannot
+    clash.
     """
     slim = written(measured(df, id_col, text_col, host_col), "quality")
     return judged(slim).select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.coalesce("lost", F.lit(0)).cast("long").alias("words_removed"))
 
 
 def cleaned(df: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """df's rows that are kept, with all their columns; lines above the limits are taken out of the texts."""
+    """df's rows that are kept, with all their columns; lines above the limits are taken out of the texts.
+
+    Nulls, repeated rows and empty tables as in quality. A row is carried as one struct, so its columns can have any names.
+    """
     slim = written(measured(df, text_col, text_col, host_col).drop("id").withColumn("id", F.lit(0)), "quality")
-    verdicts = judged(slim.dropDuplicates(["host", "k1", "k2"])).where("kept").select("name", "none", "k1", "k2", "removed")
+    verdicts = judged(slim).where("kept").select("name", "none", "k1", "k2", "removed").dropDuplicates(["name", "none", "k1", "k2"])
     verdicts = written(verdicts, "quality-verdicts")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = {"_name": F.coalesce(F.col(host_col), F.lit("")), "_none": F.col(host_col).isNull(), "_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit("k2"), text)}
-    joined = df.select("*", *(v.alias(k) for k, v in keys.items())).join(verdicts.toDF("_name", "_none", "_k1", "_k2", "_removed"), list(keys))
-    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains("_removed", F.xxhash64(normalised(x))) | ~x.rlike(r"[^\x20\x09-\x0D]"))
-    return joined.withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))).select(*df.columns)
+    text, host = F.coalesce(df[f"`{text_col}`"], F.lit("")), df[f"`{host_col}`"]
+    keys = {"name": F.coalesce(host, F.lit("")), "none": host.isNull(), "k1": F.xxhash64(text), "k2": F.xxhash64(F.lit("k2"), text)}
+    joined = df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"), *(v.alias(k) for k, v in keys.items())).join(verdicts, list(keys))
+    own = F.col("row").getField(text_col)
+    lines = F.filter(F.split(own, "\n"), lambda x: ~F.array_contains("removed", F.xxhash64(normalised(x))) | ~x.rlike(r"[^\x20\x09-\x0D]"))
+    cut = F.when(F.col("removed").isNull(), own).otherwise(F.array_join(lines, "\n"))
+    return joined.select(*((cut if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns))
 
 
 SQL = r"""
@@ -93,9 +99,9 @@ dup AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
 rep AS (SELECT r, sum(least(8, coalesce(nx - i, 8)))::BIGINT AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nx FROM dup) GROUP BY r),
 b AS (SELECT f.r, doc_id, source, t, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, ls FROM f LEFT JOIN rep USING (r)),
-tx AS (SELECT DISTINCT source, t, ls FROM b),
-ln AS (SELECT source, t, trim(regexp_replace(lower(l), '[^\p{L}]+', ' ', 'g')) AS h, sum(len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))) AS w FROM (SELECT source, t, unnest(ls) AS l FROM tx) GROUP BY ALL),
-oft AS (SELECT source, h FROM (SELECT source, h, count(*) AS n FROM ln GROUP BY ALL) JOIN (SELECT source AS s2, count(*) AS docs FROM tx GROUP BY ALL) ON source IS NOT DISTINCT FROM s2 WHERE n > 50 AND n > 0.2 * docs),
+tx AS (SELECT source, t, any_value(ls) AS ls, count(*) AS copies FROM b GROUP BY source, t),
+ln AS (SELECT source, t, trim(regexp_replace(lower(l), '[^\p{L}]+', ' ', 'g')) AS h, sum(len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))) AS w, copies FROM (SELECT source, t, copies, unnest(ls) AS l FROM tx) GROUP BY ALL),
+oft AS (SELECT source, h FROM ln GROUP BY ALL HAVING sum(copies) > 50 AND count(*) >= 10),
 lost AS (SELECT ln.source, ln.t, sum(w)::BIGINT AS lost FROM ln JOIN oft ON ln.h = oft.h AND ln.source IS NOT DISTINCT FROM oft.source GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND (lost IS NULL OR n_words - lost >= 20) AS kept, coalesce(lost, 0)::BIGINT AS words_removed

@@ -23,6 +23,8 @@ from ferrule.llm._shared import map_batches, new_path, shipped, written
 shipped(__name__)
 
 FIELDS = {1: ("url", "ip", "date", "type", "length"), 2: ("url", "ip", "date", "type", "code", "checksum", "location", "offset", "filename", "length")}
+#: Bytes aimed at in a WARC file before compression: readers hold a file at a time.
+FILE_BYTES = 32_000_000
 #: Payload bytes aimed at in an archive that pack_arc makes, and the date and address of pages, which have none.
 ARC_BYTES, DATE, ADDRESS = 4_000_000, "20240101000000", "0.0.0.0"
 BREAK = "\r\n\r\n"
@@ -150,20 +152,36 @@ def pack_arc(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     return map_batches(df, [id_col, url_col, html_col], "arc binary", run)
 
 
-RECORD = "page_id long, uri string, ip string, date string, mime string, id string, http binary, payload binary, digest string, size long"
+RECORD = "page_id long, uri string, ip string, date string, mime string, id string, http binary, payload binary, digest string, size long, fault string"
 
 
 def convert(arcs: DataFrame, arc_col: str = "arc") -> DataFrame:
-    """One row per ARC record, with what its WARC record will say. Contents may hold any bytes; a null archive has no records."""
+    """One row per ARC record, with what its WARC record will say. Contents may hold any bytes; a null archive has no records.
+
+    Where an archive is malformed, the records before that place stand, and one row says what is wrong (fault), as lengths
+    can't be trusted from there on. No archive ends the job; write_warc leaves fault rows out.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        binary = {"http", "payload"}
+        names = [c.split(" ")[0] for c in RECORD.split(", ")]
+        kinds = [pa.int64() if n in ("page_id", "size") else pa.binary() if n in binary else pa.string() for n in names]
         for batch in batches:
             for i in range(batch.num_rows):
-                rows = [converted(*r) for r in arc_records(batch.column(0)[i].as_py() or b"")] if batch.column(0)[i].as_py() else []
-                text = lambda key: pa.array([r[key] for r in rows], pa.binary() if key in ("http", "payload") else pa.string())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array([r["page_id"] for r in rows], pa.int64()), *(text(k) for k in ("uri", "ip", "date", "mime", "id", "http", "payload", "digest")), pa.array([len(r["payload"]) for r in rows], pa.int64())], names=["page_id", "uri", "ip", "date", "mime", "id", "http", "payload", "digest", "size"])
+                archive, rows = batch.column(0)[i].as_py() or b"", []
+                found, size = arc_records(archive), 0
+                try:
+                    for record in found:
+                        rows.append(converted(*record) | {"fault": None})
+                        size += len(rows[-1]["payload"])
+                        if size >= ARC_BYTES:  # batches of bounded size
+                            yield pa.RecordBatch.from_arrays([pa.array([len(r["payload"]) if n == "size" else r[n] for r in rows], k) for n, k in zip(names, kinds)], names=names)
+                            rows, size = [], 0
+                except ValueError as e:
+                    rows.append(dict.fromkeys(names) | {"fault": str(e), "payload": b""})
+                yield pa.RecordBatch.from_arrays([pa.array([len(r["payload"]) if n == "size" else r[n] for r in rows], k) for n, k in zip(names, kinds)], names=names)
 
     return map_batches(arcs, [arc_col], RECORD, run)
 
@@ -206,7 +224,7 @@ def record_text(records: DataFrame) -> DataFrame:
 
 def write_warc(records: DataFrame, path: str, per_file: int = 20_000) -> None:
     """WARC files, gzip-compressed, by Spark's text writer: what stands between records is its line separator."""
-    record_text(records).write.option("lineSep", BREAK).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    record_text(records.where("fault IS NULL")).write.option("lineSep", BREAK).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def warc_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -230,28 +248,39 @@ def read_warc(spark, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record of the archives at path, as stored.
 
     A response's payload is measured and digested anew and must agree with its headers; a revisit has none, so its headers
-    tell.
+    tell. A record that doesn't agree, and a file that ends or breaks inside a record, is a row whose fault says so.
     """
 
     def run(batches: Iterator) -> Iterator:
+        import zlib
+
         import pyarrow as pa
 
+        def row(headers, block):
+            digest, size, kind = headers["warc-payload-digest"].removeprefix("sha1:"), int(headers["warc-payload-length"]), headers["warc-type"]
+            fault = None
+            if kind != "revisit":
+                payload = payload_of(block)[1] if headers["content-type"].startswith("application/http") else block
+                if (len(payload), base32(hashlib.sha1(payload).digest())) != (size, digest):
+                    fault = "a payload differs from its header"
+            return page_of(headers["warc-record-id"]), size, digest, kind, page_of(headers["warc-refers-to"]) if "warc-refers-to" in headers else None, headers["warc-target-uri"], headers["warc-record-id"], fault
+
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "record_id", "fault"]
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = []
-                with gzip.GzipFile(fileobj=io.BytesIO(batch.column(0)[i].as_py())) as stream:
-                    for headers, block in warc_records(io.BufferedReader(stream)):
-                        digest, size, kind = headers["warc-payload-digest"].removeprefix("sha1:"), int(headers["warc-payload-length"]), headers["warc-type"]
-                        if kind != "revisit":
-                            payload = payload_of(block)[1] if headers["content-type"].startswith("application/http") else block
-                            if (len(payload), base32(hashlib.sha1(payload).digest())) != (size, digest):
-                                raise ValueError(f"a payload differs from its header: {headers['warc-record-id']}")
-                        rows.append((page_of(headers["warc-record-id"]), size, digest, kind, page_of(headers["warc-refers-to"]) if "warc-refers-to" in headers else None, headers["warc-target-uri"], headers["warc-record-id"]))
-                cols = list(zip(*rows)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "record_id"])
+                try:
+                    with gzip.GzipFile(fileobj=io.BytesIO(batch.column(0)[i].as_py())) as stream:
+                        for headers, block in warc_records(io.BufferedReader(stream)):
+                            rows.append(row(headers, block))
+                except (ValueError, KeyError, EOFError, OSError, zlib.error) as e:
+                    rows.append((None,) * 7 + (f"{type(e).__name__}: {e}",))
+                cols = list(zip(*rows)) or [()] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return map_batches(files, ["content"], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, record_id string", run)
+    return map_batches(files, ["content"], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, record_id string, fault string", run)
 
 
 def base32_sql(hex_digest):
@@ -272,9 +301,10 @@ def archive_pages(df: DataFrame, least: int = 0, id_col: str = "page_id", url_co
     light = df.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(payload).alias("x"), F.octet_length(payload).cast("long").alias("size"))
     first = light.groupBy("x", "size").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")).where("n > 1 and page_id is not null")
     first = written(first.select(base32_sql(F.col("x")).alias("digest"), "size", "page_id", F.lit(iso_date(DATE)).alias("date")), "warc-first")
+    mean = light.agg(F.avg(F.col("size") + 600)).first()[0]  # a record's headers take some 600 bytes
     path = new_path(df.sparkSession, "warc")
-    write_warc(with_revisits(convert(pack_arc(df, id_col, url_col, html_col)), first, least), path)
-    return read_warc(df.sparkSession, path)
+    write_warc(with_revisits(convert(pack_arc(df, id_col, url_col, html_col)), first, least), path, max(1, int(FILE_BYTES / (mean or 1))))
+    return read_warc(df.sparkSession, path).where("fault IS NULL OR raise_error(fault) IS NULL")  # files just written must be whole
 
 
 SQL = r"""

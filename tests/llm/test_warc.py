@@ -28,6 +28,37 @@ def test_broken_archives_are_errors(bad):
         list(warc.arc_records(bad))
 
 
+def test_broken_archives_are_rows(spark):
+    good = archive(1, ("http://a/", b"HTTP/1.1 200 OK\r\n\r\nabc"), ("http://b/", b"x"))
+    rows = [(bytearray(good),), (bytearray(good + b"http://c 0.0.0.0 20240101000000 text/html 99\nshort"),), (bytearray(b"nothing\n"),), (None,), (bytearray(b""),)]
+    got = warc.convert(spark.createDataFrame(rows, "arc binary")).collect()
+    assert sorted(r.uri for r in got if r.fault is None) == ["http://a/", "http://a/", "http://b/", "http://b/"]
+    assert sorted(r.fault for r in got if r.fault) == ["no record header where one is due", "the archive ends inside a record"]
+
+
+def test_broken_files_are_rows(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\n\r\nabc"
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {warc.record_id(4, 'x')}\r\nWARC-Target-URI: u\r\nContent-Type: application/http\r\nWARC-Payload-Length: 3\r\n"
+    good = (head + f"WARC-Payload-Digest: sha1:{warc.base32(__import__('hashlib').sha1(b'abc').digest())}\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    wrong = good.replace(b"abc", b"abd")
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "part-0.gz").write_bytes(gzip.compress(good + wrong))
+    (tmp_path / "w" / "part-1.gz").write_bytes(gzip.compress(good + good[:-9]))
+    (tmp_path / "w" / "part-2.gz").write_bytes(gzip.compress(good)[:-12])
+    (tmp_path / "w" / "part-3.gz").write_bytes(b"no gzip")
+    got = warc.read_warc(spark, f"file://{tmp_path}/w").collect()
+    assert sum(r.page_id == 4 and r.fault is None for r in got) >= 2 and sum(r.fault == "a payload differs from its header" for r in got) == 1
+    assert sum(r.page_id is None and r.fault is not None for r in got) == 3
+
+
+def test_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    pages = spark.range(200).coalesce(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 1400)).alias("html"))
+    monkeypatch.setattr(warc, "new_path", lambda *_: f"file://{tmp_path}/w")
+    assert warc.archive_pages(pages).count() == 200
+    assert len(list((tmp_path / "w").glob("part-*.gz"))) >= 15
+
+
 def test_short_dates():
     assert warc.iso_date("19961231235959") == "1996-12-31T23:59:59Z"
     assert warc.iso_date("199612") == "1996-12-01T00:00:00Z"
