@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOP_WORDS = tuple(sorted("a an and are as at be been being by class cls def false for from import in is it none not null of on or return self that the this to true void was were with".split()) + sorted("的 了 在 是 與 及 或 將 對 於 中 為 以".split()))
+# Search results depend on just these words, character ranges and boundaries.
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "been", "being", "by", "class", "cls", "def", "false", "for", "from", "import",
+    "in", "is", "it", "none", "not", "null", "of", "on", "or", "return", "self", "that", "the", "this", "to", "true", "void",
+    "was", "were", "with",
+    "的", "了", "在", "是", "與", "及", "或", "將", "對", "於", "中", "為", "以",
+)
 CJK = r"\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{ffef}"
 CAMEL = ((r"([A-Z]+)([A-Z][a-z])", "$1_$2"), (r"([a-z0-9])([A-Z])", "$1_$2"))
 
@@ -26,13 +32,22 @@ def identifier_parts(word: Column) -> Column:
     return F.filter(F.split(_marked(word), "[^a-z0-9]+"), lambda p: p != "")
 
 
+def marked(text: Column) -> Column:
+    """The first half of tokenize: what terms() takes. A column of its own, it is computed once a row."""
+    return _marked(F.coalesce(text, F.lit("")))
+
+
 def tokenize(text: Column) -> Column:
     """Search terms in order: identifier parts without stop words, then the joined word if it had several parts; of an
     ideograph run its characters without stop words and then all its pairs. Null gives an empty array.
 
     Boundaries are marked in the whole text at once. Texts of plain words, which most are, need just a split and a filter.
     """
-    marked = _marked(F.coalesce(text, F.lit("")))
+    return terms(marked(text))
+
+
+def terms(marked: Column) -> Column:
+    """The second half of tokenize."""
     segments = F.regexp_extract_all(marked, F.lit(f"[{CJK}]+|[a-z0-9_]+"), F.lit(0))
     none = F.array().cast("array<string>")
 
@@ -135,11 +150,20 @@ def embedding_input(name: Column, signature: Column, doc: Column, most: int = 40
     return F.trim(F.concat_ws(" ", name, signature, F.left(doc, F.lit(most))))
 
 
-def strip_generics(text: Column, depth: int = 6) -> Column:
-    """Without balanced <...>, the innermost first; so many levels deep."""
-    for _ in range(depth):
-        text = F.regexp_replace(text, "<[^<>]*>", "")
-    return text
+def strip_generics(text: Column) -> Column:
+    """Without balanced <...>, at any depth, in one pass over the characters: what is inside the outermost brackets goes.
+
+    A bracket without its counterpart stays, with what is around it.
+    """
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+
+    def step(a: Column, c: Column) -> Column:
+        # The text at each depth so far; a closing bracket drops the deepest, which began with its opening one.
+        n = F.size(a)
+        last, rest = F.element_at(a, -1), F.slice(a, F.lit(1), n - 1)
+        return F.when(c == "<", F.concat(a, F.array(F.lit("<")))).when((c == ">") & (n > 1), rest).otherwise(F.concat(rest, F.array(F.concat(last, c))))
+
+    return F.when(text.contains("<"), F.aggregate(chars, F.array(F.lit("")), step, lambda a: F.array_join(a, ""))).otherwise(text)
 
 
 def parameters(signature: Column) -> Column:

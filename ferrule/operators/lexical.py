@@ -1,27 +1,48 @@
-"""BM25 over four fields: index, statistics, search with filters, roll-up by file, adaptive cut-offs."""
+"""BM25 over four fields: an index on disk, search that reads its terms' postings alone, roll-up by file, adaptive cut-offs.
+
+A posting holds a term, a document, the term's frequency in each field, and what scoring and filters need of the document, so a
+search reads the parts of its terms and nothing else, and shuffles only the documents that match.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import tokenize
+from ferrule.functions.text import marked, terms, tokenize
+from ferrule.sources import scratch
 
 FIELDS = {"name": 3.5, "signature": 2.0, "members": 2.0, "docstring": 1.5}
 K1, B = 1.5, 0.75
 
 
+def tokenized(symbols: DataFrame, keep: list[Column]) -> DataFrame:
+    """keep, and each field's terms (t_name and so on): each text is marked once and split once a row."""
+    out = symbols.select(*keep, *(marked(F.col(f)).alias(f"m_{f}") for f in FIELDS))
+    return out.select("*", *(terms(F.col(f"m_{f}")).alias(f"t_{f}") for f in FIELDS)).drop(*(f"m_{f}" for f in FIELDS))
+
+
+def counted(tokens: DataFrame) -> DataFrame:
+    """tokens with x, a row for each distinct term of each field: a struct of term, field and n. No shuffle: terms are sorted in their row."""
+    others = [c for c in tokens.columns if not c.startswith("t_")]
+    rows = tokens.select(*others, *(F.array_sort(f"t_{f}").alias(f"t_{f}") for f in FIELDS))
+    new = lambda f: F.filter(F.sequence(F.lit(0), F.size(f"t_{f}")), lambda i: (i < F.size(f"t_{f}")) & ((i == 0) | (F.get(f"t_{f}", i) != F.get(f"t_{f}", i - 1))))
+    rows = rows.select("*", *(new(f).alias(f"i_{f}") for f in FIELDS))
+    runs = lambda f: F.transform(f"i_{f}", lambda i, k: F.struct(F.get(f"t_{f}", i).alias("term"), F.lit(f).alias("field"), (F.coalesce(F.get(f"i_{f}", k + 1), F.size(f"t_{f}")) - i).cast("long").alias("n")))
+    return rows.select(*others, F.explode(F.concat(*(runs(f) for f in FIELDS))).alias("x"))
+
+
 def postings(symbols: DataFrame, id_col: str = "id") -> DataFrame:
-    """term, doc, and its frequency in each field: one row a term and document. One shuffle, combined before it."""
-    parts = [F.transform(tokenize(F.col(f)), lambda t: F.struct(t.alias("term"), F.lit(f).alias("field"))) for f in FIELDS]  # noqa: B023
-    rows = symbols.select(F.col(id_col).alias("doc"), F.explode(F.concat(*parts)).alias("x"))
-    return rows.groupBy("doc", F.col("x.term").alias("term")).agg(*(F.count_if(F.col("x.field") == f).alias(f"f_{f}") for f in FIELDS))
+    """term, doc, and its frequency in each field: one row a term and document."""
+    rows = counted(tokenized(symbols, [F.col(id_col).alias("doc")]))
+    return rows.groupBy("doc", F.col("x.term").alias("term")).agg(*(F.coalesce(F.sum(F.when(F.col("x.field") == f, F.col("x.n"))), F.lit(0)).alias(f"f_{f}") for f in FIELDS))
 
 
 def lengths(symbols: DataFrame, id_col: str = "id") -> DataFrame:
-    return symbols.select(F.col(id_col).alias("doc"), *(F.size(tokenize(F.col(f))).cast("long").alias(f"l_{f}") for f in FIELDS))
+    tokens = tokenized(symbols, [F.col(id_col).alias("doc")])
+    return tokens.select("doc", *(F.size(f"t_{f}").cast("long").alias(f"l_{f}") for f in FIELDS))
 
 
 def statistics(doc_lengths: DataFrame) -> DataFrame:
@@ -42,47 +63,91 @@ def query_terms(text: str, spark) -> list[str]:
     return spark.range(1).select(tokenize(F.lit(text))).first()[0]
 
 
-def once(value: Column) -> Column:
-    """value from a generator of one row: the optimizer doesn't copy what is below into each use of it."""
-    return F.explode(F.array(value))
+ATTRIBUTES = ("space", "language", "kind", "file_path")
 
 
-def search(symbols: DataFrame, text: str, where: Column | None = None, min_score: float = 0.0, limit: int | None = 10, id_col: str = "id", weight: Column | None = None) -> DataFrame:
-    """doc, score, matched terms: the best documents. Ties go to the lesser id.
+def entries(symbols: DataFrame, parts: int, id_col: str = "id", attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
+    """The index's rows: part, term, doc, frequencies, field lengths, hashes of the name and of its last segment, attributes.
 
-    Without an index: each document's terms of the query are counted in place, in one pass for the corpus statistics and one
-    for the scores, so nothing is shuffled but a row of sums. Statistics count all documents, the filter only chooses.
-    Repeated terms of the query score again. With three terms or more, half of them must match, unless one is the query.
+    One shuffle, by the term's part; a term of a row is counted before it.
     """
-    terms = query_terms(text, symbols.sparkSession)
-    if not terms:
-        return symbols.select(F.col(id_col).alias("doc"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched")).limit(0)
-    own = sorted(set(terms))
-    tokens = symbols.select("*", once(F.struct(*(tokenize(F.col(f)).alias(f) for f in FIELDS))).alias("_t"))
-    found = tokens.select(*symbols.columns, once(F.struct(*(F.size(F.col("_t")[f]).alias(f"l_{f}") for f in FIELDS), *(F.filter(F.col("_t")[f], lambda x: x.isin(*own)).alias(f) for f in FIELDS))).alias("_f"))
-    tf = {(f, i): F.size(F.filter(F.col("_f")[f], lambda x: x == t)).alias(f"_{i}_{f}") for f in FIELDS for i, t in enumerate(own)}  # noqa: B023
-    counted = found.select(*symbols.columns, *(F.col("_f")[f"l_{f}"].alias(f"_l_{f}") for f in FIELDS), *tf.values())
-    hit = lambda i: reduce(lambda a, b: a | b, (F.col(f"_{i}_{f}") > 0 for f in FIELDS))
-    n = F.count("*")
-    stats = counted.agg(n.alias("_docs"), *(F.greatest(F.lit(1.0), F.coalesce(F.sum(f"_l_{f}") / n, F.lit(1.0))).alias(f"_a_{f}") for f in FIELDS), *(F.count_if(hit(i)).alias(f"_df_{i}") for i in range(len(own))))
-    scored = counted.where(reduce(lambda a, b: a | b, (hit(i) for i in range(len(own)))))
-    scored = (scored if where is None else scored.where(where)).crossJoin(F.broadcast(stats))  # one row
-    total = F.lit(0.0)
-    for t in terms:
-        i = own.index(t)
-        fields = reduce(lambda a, b: a + b, (w * F.col(f"_{i}_{f}") * (K1 + 1) / (F.col(f"_{i}_{f}") + K1 * (1 - B) + 1e-9 + K1 * B / F.col(f"_a_{f}") * F.greatest(F.col(f"_l_{f}"), F.lit(1))) for f, w in FIELDS.items()))
-        total = total + F.when(hit(i), idf(F.col(f"_df_{i}"), F.col("_docs")) * fields).otherwise(0.0)
+    name = F.lower("name")
+    own = [F.col(id_col).alias("doc"), F.xxhash64(name).alias("whole_name"), F.xxhash64(F.element_at(F.split(name, r"[.]|::"), -1)).alias("last_name")]
+    own += [F.col(c) if c in symbols.columns else F.lit(None).cast("string").alias(c) for c in attributes]
+    tokens = tokenized(symbols, own)
+    tokens = tokens.select("*", *(F.size(f"t_{f}").cast("int").alias(f"l_{f}") for f in FIELDS))
+    rows = counted(tokens).withColumn("term", F.col("x.term")).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    keys = ["part", "term", "doc", *(f"l_{f}" for f in FIELDS), "whole_name", "last_name", *attributes]
+    return rows.repartition(parts, "part").groupBy(*keys).agg(*(F.coalesce(F.sum(F.when(F.col("x.field") == f, F.col("x.n"))), F.lit(0)).cast("int").alias(f"f_{f}") for f in FIELDS))
+
+
+def put_index(rows: DataFrame, measures: DataFrame, path: str, parts: int, mark: str | None) -> None:
+    """A new version of the index from its rows and the documents' lengths, named once it is whole: readers never see half of one."""
+    spark, version = rows.sparkSession, scratch.pointer(rows.sparkSession, path)["version"] + 1
+    to = f"{path}/{version}"
+    rows.repartition(parts, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{to}/postings")
+    spark.read.parquet(f"{to}/postings").groupBy("part", "term").agg(F.count("*").alias("df")).repartition(parts, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{to}/terms")
+    measures.write.mode("overwrite").parquet(f"{to}/lengths")
+    statistics(spark.read.parquet(f"{to}/lengths")).withColumn("parts", F.lit(parts)).write.mode("overwrite").parquet(f"{to}/statistics")
+    scratch.point(spark, path, version, mark)
+
+
+def write_index(symbols: DataFrame, path: str, parts: int = 64, id_col: str = "id", mark: str | None = None) -> None:
+    """Index symbols anew under path. Postings lie by a hash of their term, sorted by it. mark says what was indexed."""
+    put_index(entries(symbols, parts, id_col), lengths(symbols, id_col), path, parts, mark)
+
+
+def patch_index(spark: SparkSession, path: str, dirty: DataFrame, new: DataFrame, id_col: str = "id", mark: str | None = None) -> None:
+    """The next version of the index: without the documents of dirty (column doc), with the symbols of new."""
+    at = f"{path}/{scratch.pointer(spark, path)['version']}"
+    parts = spark.read.parquet(f"{at}/statistics").first()["parts"]
+    rows = spark.read.parquet(f"{at}/postings").withColumn("part", F.col("part").cast("int"))
+    put_index(patched(rows, dirty, entries(new, parts, id_col)), patched(spark.read.parquet(f"{at}/lengths"), dirty, lengths(new, id_col)), path, parts, mark)
+
+
+def search_index(spark: SparkSession, path: str, text: str, where: Column | None = None, min_score: float = 0.0, limit: int | None = 10, weight: Column | None = None) -> DataFrame:
+    """doc, score, matched (distinct terms) and the document's attributes: the best documents. Ties go to the lesser doc.
+
+    Only the parts of the query's terms are read, and of them only these terms' row groups. Statistics count all documents;
+    the filter, over the attributes, acts before scores. Repeated terms of the query score again. A query that is the name or
+    its last segment scores double. With three terms or more, half of them must match, unless one is the query.
+    """
+    at, asked = f"{path}/{scratch.pointer(spark, path)['version']}", query_terms(text, spark)
+    stats = spark.read.parquet(f"{at}/statistics").first()  # one row
+    rows = spark.read.parquet(f"{at}/postings")
+    own = {t: asked.count(t) for t in asked}
+    parts = {r["p"] for r in spark.range(1).select(F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(stats["parts"])) for t in own))).alias("p")).collect()} if own else set()  # a row a term of the query
+    chosen = F.col("part").isin(*parts) & F.col("term").isin(*own) if own else F.lit(False)
+    df = {r["term"]: r["df"] for r in spark.read.parquet(f"{at}/terms").where(chosen).collect()}  # a row a term of the query
+    rows = rows.where(chosen) if where is None else rows.where(chosen).where(where)
+    value = lambda f: FIELDS[f] * F.col(f"f_{f}") * (K1 + 1) / (F.col(f"f_{f}") + K1 * (1 - B) + 1e-9 + K1 * B / stats[f"a_{f}"] * F.greatest(F.col(f"l_{f}"), F.lit(1)))
+    times = F.lit(0.0)
+    for t, n in own.items():
+        times = F.when(F.col("term") == t, n * idf(F.lit(df.get(t, 0)), F.lit(stats["docs"]))).otherwise(times)
+    score = times * reduce(lambda a, b: a + b, (value(f) for f in FIELDS))
     query = text.strip().lower()
-    exact = (F.lower("name") == query) | (F.lower(F.element_at(F.split("name", r"[.]|::"), -1)) == query)
-    total = F.when(exact, total * 2).otherwise(total) * (F.lit(1.0) if weight is None else weight)
-    matched = reduce(lambda a, b: a + b, (hit(i).cast("long") for i in range(len(own))))
-    out = scored.select(F.col(id_col).alias("doc"), *[c for c in ("space", "language", "file_path") if c in symbols.columns], total.alias("score"), matched.alias("matched"), (hit(own.index(query)) if query in own else F.lit(False)).alias("_whole"))
-    if len(terms) >= 3:
-        out = out.where((F.col("matched") / len(terms) >= 0.5) | F.col("_whole"))
-    out = out.where(F.col("score") >= min_score).drop("_whole") if min_score > 0 else out.where("score > 0").drop("_whole")
+    double = (F.col("whole_name") == F.xxhash64(F.lit(query))) | (F.col("last_name") == F.xxhash64(F.lit(query)))
+    attributes = [c for c in rows.columns if c not in ("part", "term", "doc", "whole_name", "last_name") and c[:2] not in ("f_", "l_")]
+    out = rows.groupBy("doc").agg(F.sum(score).alias("score"), F.count("*").alias("matched"), F.max(F.col("term") == query).alias("_whole"), F.max(double).alias("_double"), *(F.first(c).alias(c) for c in attributes))
+    total = F.when(F.col("_double"), F.col("score") * 2).otherwise(F.col("score"))
+    out = out.withColumn("score", total if weight is None else total * weight)
+    out = out.where(F.col("score") >= min_score) if min_score > 0 else out.where("score > 0")
+    if len(asked) >= 3:
+        out = out.where((F.col("matched") / len(asked) >= 0.5) | F.col("_whole"))
+    out = out.select("doc", "score", "matched", *attributes)
     return out if limit is None else out.orderBy(F.desc("score"), "doc").limit(limit)
 
 
+def overfetch(limit: int) -> int:
+    """How many candidates each side of a fused search gives."""
+    return max(3 * limit, 30)
+
+
+def pool(limit: int, documents: int) -> int:
+    """How many symbols a search that rolls up by file takes from each side."""
+    return max(32 * limit, min(documents, 1000), 60)
+
+
 def space_weight(space: Column, weights: dict[str, float]) -> Column:
     """Exact name, else its last segment, else 1."""
     out = F.lit(1.0)
@@ -94,9 +159,11 @@ def space_weight(space: Column, weights: dict[str, float]) -> Column:
 
 
 def roll_up(hits: DataFrame, by: str = "file_path", alpha: float = 0.2, limit: int | None = 10) -> DataFrame:
-    """Per file: the best score and alpha of the rest, the number of hits, its three best documents."""
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc"))), 1, 3)
-    out = hits.groupBy(by).agg((F.max("score") + alpha * (F.sum("score") - F.max("score"))).alias("total_score"), F.count("*").alias("hits"), F.array_join(F.transform(best, lambda x: x["doc"].cast("string")), ",").alias("top_items"))
+    """Per file: the best score and alpha of the rest, the number of hits, its three best documents. No more than three are gathered."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "doc"))
+    rows = hits.withColumn("_n", place)
+    best = F.sort_array(F.collect_list(F.when(F.col("_n") <= 3, F.struct("_n", F.col("doc").cast("string").alias("doc")))))
+    out = rows.groupBy(by).agg((F.max("score") + alpha * (F.sum("score") - F.max("score"))).alias("total_score"), F.count("*").alias("hits"), F.array_join(F.transform(best, lambda x: x["doc"]), ",").alias("top_items"))
     return out if limit is None else out.orderBy(F.desc("total_score"), by).limit(limit)
 
 
@@ -109,38 +176,6 @@ def adaptive_cut(ranked: DataFrame, score: str = "score", tie: str = "doc", of_t
     return out.withColumn("_cut", F.max("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_cut = 0").drop("_cut")
 
 
-def write_index(symbols: DataFrame, path: str, parts: int = 64, id_col: str = "id") -> None:
-    """Postings by a hash of their term, lengths, and one row of statistics, as Parquet tables under path."""
-    index = postings(symbols, id_col).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-    index.repartition(parts, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    lengths(symbols, id_col).write.mode("overwrite").parquet(f"{path}/lengths")
-    own = symbols.sparkSession.read.parquet(f"{path}/lengths")
-    statistics(own).withColumn("parts", F.lit(parts)).write.mode("overwrite").parquet(f"{path}/statistics")
-
-
-def search_index(spark, path: str, text: str, limit: int | None = 10) -> DataFrame:
-    """doc, score, matched from an index: only the parts of the query's terms are read, and of them only these terms' row groups.
-
-    As search, without filters and without the boost for exact names, which an index does not hold.
-    """
-    terms = query_terms(text, spark)
-    stats = spark.read.parquet(f"{path}/statistics").first()  # one row
-    own = {t: terms.count(t) for t in terms}
-    if stats is None or not terms:
-        return spark.createDataFrame([], "doc string, score double, matched long")
-    asked = spark.createDataFrame(list(own.items()), "term string, times int").withColumn("part", F.pmod(F.xxhash64("term"), F.lit(stats["parts"])).cast("int"))
-    parts = sorted({r["part"] for r in asked.collect()})  # a row a term of the query
-    found = spark.read.parquet(f"{path}/postings").where(F.col("part").isin(*parts) & F.col("term").isin(*own)).drop("part")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    rows = found.join(F.broadcast(df.join(asked.drop("part"), "term")), "term").join(spark.read.parquet(f"{path}/lengths"), "doc")  # the broadcast has a row a term
-    field = lambda f, w: w * F.col(f"f_{f}") * (K1 + 1) / (F.col(f"f_{f}") + K1 * (1 - B) + 1e-9 + K1 * B / stats[f"a_{f}"] * F.greatest(F.col(f"l_{f}"), F.lit(1)))
-    score = F.col("times") * idf(F.col("df"), F.lit(stats["docs"])) * reduce(lambda a, b: a + b, (field(f, w) for f, w in FIELDS.items()))
-    out = rows.groupBy("doc").agg(F.sum(score).alias("score"), F.count("*").alias("matched")).where("score > 0")
-    if len(terms) >= 3:
-        out = out.where(F.col("matched") / len(terms) >= 0.5)
-    return out if limit is None else out.orderBy(F.desc("score"), "doc").limit(limit)
-
-
 def patched(index: DataFrame, dirty: DataFrame, new: DataFrame) -> DataFrame:
     """Postings (or lengths) without those of dirty documents (column doc), and the new ones."""
     return index.join(dirty.select("doc").distinct(), "doc", "left_anti").unionByName(new)

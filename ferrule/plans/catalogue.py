@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import semver, text
 from ferrule.operators import documents, graph, lexical, reconcile, rules, sessions, spaces, vector
+from ferrule.sources import scratch
 
 QUERY = "the onnd of thetion erand"
 R6 = lambda c: F.round(c, 6)
@@ -32,6 +33,23 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: The index of each folder's documents, by application: built by the first search that asks for it.
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, d: str, anew: bool = False) -> str:
+    key = spark.sparkContext.applicationId, d
+    if anew or key not in _indexes:
+        path = _indexes.get(key) or scratch.new_path(spark, "index")
+        lexical.write_index(symbols(spark, d), path, parts=32)
+        _indexes[key] = path
+    return _indexes[key]
+
+
+def found(spark: SparkSession, d: str, limit: int | None = 10, **more) -> DataFrame:
+    return lexical.search_index(spark, index(spark, d), QUERY, limit=limit, **more)
+
+
 def symbols(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return docs.select(F.col("doc_id").alias("id"), F.element_at(F.split("text", "\n"), 1).alias("name"), F.lit("").alias("signature"), F.lit("").alias("members"), F.col("text").alias("docstring"), F.col("lang").alias("language"), F.col("source").alias("space"), F.concat(F.col("source"), F.lit("/"), (F.col("doc_id") % 50).cast("string"), F.lit(".md")).alias("file_path"))
@@ -62,19 +80,26 @@ hit AS (SELECT po.id, q.term, ln(1 + greatest(0.0, (n - df + 0.5) / (df + 0.5)))
 sc AS (SELECT id AS doc, sum(s) AS score, count(DISTINCT term) AS matched FROM hit GROUP BY id HAVING count(DISTINCT term) / (SELECT count(*) FROM q) >= 0.5)"""
 
 
+@query(f"WITH {POST} SELECT count(DISTINCT id) AS docs, count(DISTINCT term) AS terms, count(*) AS postings, sum(fn + fd)::BIGINT AS tokens FROM po")
+def bm25_index(spark, d):
+    """Builds the index anew, whole, and says what it holds."""
+    rows = spark.read.parquet(f"{(path := index(spark, d, anew=True))}/{scratch.pointer(spark, path)['version']}/postings")
+    return rows.agg(F.count_distinct("doc").alias("docs"), F.count_distinct("term").alias("terms"), F.count("*").alias("postings"), F.sum(F.expr(" + ".join(f"f_{f}" for f in lexical.FIELDS)).cast("long")).alias("tokens"))
+
+
 @query(f"WITH {SCORE} SELECT doc, round(score, 6) AS score, matched FROM sc ORDER BY score DESC, doc LIMIT 10")
 def bm25_topk(spark, d):
-    return lexical.search(symbols(spark, d), QUERY).select("doc", R6("score").alias("score"), "matched")
+    return found(spark, d).select("doc", R6("score").alias("score"), "matched")
 
 
 @query(f"WITH {SCORE} SELECT doc, round(score, 6) AS score, matched FROM sc JOIN sym ON id = doc WHERE language = 'en' AND space IN ('src1', 'src2', 'src3') ORDER BY score DESC, doc LIMIT 10")
 def bm25_filtered(spark, d):
-    return lexical.search(symbols(spark, d), QUERY, (F.col("language") == "en") & F.col("space").isin("src1", "src2", "src3")).select("doc", R6("score").alias("score"), "matched")
+    return found(spark, d, where=(F.col("language") == "en") & F.col("space").isin("src1", "src2", "src3")).select("doc", R6("score").alias("score"), "matched")
 
 
 @query(f"WITH {SCORE} SELECT doc, round(score * CASE space WHEN 'src1' THEN 2.0 WHEN 'src2' THEN 0.5 ELSE 1.0 END, 6) AS score FROM sc JOIN sym ON id = doc ORDER BY score DESC, doc LIMIT 10")
 def bm25_space_weights(spark, d):
-    return lexical.search(symbols(spark, d), QUERY, weight=lexical.space_weight(F.col("space"), {"src1": 2.0, "src2": 0.5})).select("doc", R6("score").alias("score"))
+    return found(spark, d, weight=lexical.space_weight(F.col("space"), {"src1": 2.0, "src2": 0.5})).select("doc", R6("score").alias("score"))
 
 
 ROLL = f"WITH {SCORE}, r AS (SELECT file_path, round(max(score) + 0.2 * (sum(score) - max(score)), 6) AS total_score, count(*) AS hits, array_to_string(list(doc ORDER BY score DESC, doc)[1:3], ',') AS top_items FROM sc JOIN sym ON id = doc GROUP BY file_path)"
@@ -82,12 +107,12 @@ ROLL = f"WITH {SCORE}, r AS (SELECT file_path, round(max(score) + 0.2 * (sum(sco
 
 @query(f"{ROLL} SELECT * FROM r ORDER BY total_score DESC, file_path LIMIT 10")
 def bm25_file_rollup(spark, d):
-    return lexical.roll_up(lexical.search(symbols(spark, d), QUERY, limit=None)).withColumn("total_score", R6("total_score"))
+    return lexical.roll_up(found(spark, d, None)).withColumn("total_score", R6("total_score"))
 
 
 @query(f"{ROLL}, o AS (SELECT *, row_number() OVER w AS rank, lag(total_score) OVER w AS p, first(total_score) OVER w AS t FROM (SELECT * FROM r ORDER BY total_score DESC, file_path LIMIT 50) WINDOW w AS (ORDER BY total_score DESC, file_path)) SELECT file_path, total_score, hits, top_items, rank FROM o WHERE rank < coalesce((SELECT min(rank) FROM o WHERE rank > 3 AND (total_score < 0.38 * t OR total_score < 0.55 * p)), 1000)")
 def adaptive_cutoff(spark, d):
-    return lexical.adaptive_cut(lexical.roll_up(lexical.search(symbols(spark, d), QUERY, limit=None), limit=50).withColumn("total_score", R6("total_score")), "total_score", "file_path")
+    return lexical.adaptive_cut(lexical.roll_up(found(spark, d, None), limit=50).withColumn("total_score", R6("total_score")), "total_score", "file_path")
 
 
 @query(f"WITH {TERMS} SELECT count(*) AS docs, round(greatest(1.0, sum(len(tn)) / count(*)), 6) AS a_name, round(greatest(1.0, sum(len(td)) / count(*)), 6) AS a_docstring FROM tk")
@@ -141,14 +166,14 @@ FUSE = f"WITH {SCORE}, {VEC}, lx AS (SELECT doc, row_number() OVER (ORDER BY sco
 
 @query(f"{FUSE} SELECT doc, lexical_rank, vector_rank, round(coalesce(0.5 / (60 + lexical_rank), 0) + coalesce(0.5 / (60 + vector_rank), 0), 6) AS score FROM lx FULL JOIN vx USING (doc)")
 def rrf_fusion(spark, d):
-    lex = vector.ranked(lexical.search(symbols(spark, d), QUERY, limit=30), "score", "lexical_rank")
+    lex = vector.ranked(found(spark, d, 30), "score", "lexical_rank")
     vec = vector.ranked(vector.top_k(vectors(spark, d), probe(spark, d), 30).withColumn("sim", R6("sim")), "sim", "vector_rank")
     return vector.fuse(lex, vec).withColumn("score", R6("score"))
 
 
 @query(f"WITH {SCORE}, {VEC} SELECT doc, sim FROM (SELECT doc, sim FROM v ORDER BY sim DESC, doc LIMIT 100) WHERE sim >= 0.7 OR doc IN (SELECT doc FROM sc)")
 def vector_gate(spark, d):
-    return vector.gate(vector.top_k(vectors(spark, d), probe(spark, d), 100).withColumn("sim", R6("sim")), lexical.search(symbols(spark, d), QUERY, limit=None))
+    return vector.gate(vector.top_k(vectors(spark, d), probe(spark, d), 100).withColumn("sim", R6("sim")), found(spark, d, None))
 
 
 def hashed(spark, d):
@@ -178,18 +203,20 @@ def vector_upsert(spark, d):
 
 
 def edges(spark, d):
-    """Suppliers call parts, parts call suppliers of the next number: a cyclic graph."""
-    li = table(spark, d, "lineitem").where("l_linenumber = 1")
-    return li.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"), F.col("l_shipdate").cast("string").alias("site")).unionByName(li.where("l_quantity > 45").select(F.concat(F.lit("p"), F.col("l_partkey")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey") + 1).alias("dst"), F.col("l_shipdate").cast("string").alias("site")))
+    """Suppliers call parts, parts call suppliers of the next number: a cyclic graph, from every row of lineitem."""
+    li = table(spark, d, "lineitem")
+    supplier, part, after = F.concat(F.lit("s"), F.col("l_suppkey")), F.concat(F.lit("p"), F.col("l_partkey")), F.concat(F.lit("s"), F.col("l_suppkey") + 1)
+    site = F.col("l_shipdate").cast("string").alias("site")
+    return li.select(supplier.alias("src"), part.alias("dst"), site).unionByName(li.select(part.alias("src"), after.alias("dst"), site))
 
 
-EDGES = "e0 AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_shipdate AS site FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 'p' || l_partkey, 's' || (l_suppkey + 1), l_shipdate FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45), e AS (SELECT DISTINCT src, dst FROM e0)"
+EDGES = "e0 AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_shipdate AS site FROM lineitem UNION ALL SELECT 'p' || l_partkey, 's' || (l_suppkey + 1), l_shipdate FROM lineitem), e AS (SELECT DISTINCT src, dst FROM e0)"
 IMPACT = f"{EDGES}, l1 AS (SELECT DISTINCT src AS node FROM e WHERE dst = 'p7' AND src <> 'p7'), l2 AS (SELECT DISTINCT src AS node FROM e WHERE dst IN (SELECT node FROM l1) AND src <> 'p7' AND src NOT IN (SELECT node FROM l1)), l3 AS (SELECT DISTINCT src AS node FROM e WHERE dst IN (SELECT node FROM l2) AND src <> 'p7' AND src NOT IN (SELECT node FROM l1 UNION ALL SELECT node FROM l2)), im AS (SELECT node, 1::BIGINT AS layer FROM l1 UNION ALL SELECT node, 2 FROM l2 UNION ALL SELECT node, 3 FROM l3)"
 
 
 @query(f"WITH {EDGES} SELECT src, dst, count(DISTINCT site)::BIGINT AS sites FROM e0 GROUP BY src, dst")
 def edge_sites(spark, d):
-    return graph.merge_sites(edges(spark, d)).select("src", "dst", F.size("sites").cast("long").alias("sites"))
+    return graph.merge_sites(edges(spark, d))
 
 
 @query(f"WITH {EDGES} SELECT src FROM e WHERE dst = 'p7'")
@@ -220,9 +247,17 @@ def typed(spark, d):
     return edges(spark, d).select("src", "dst", F.when(F.col("src").startswith("s"), "calls").otherwise("inherits").alias("edge_kind"), F.when(F.length("dst") == 3, "unresolved").otherwise("resolved").alias("resolution_status"))
 
 
-@query(f"WITH {EDGES}, t AS (SELECT * FROM e WHERE length(dst) <> 3 AND src LIKE 's%') SELECT DISTINCT dst AS node, 1::BIGINT AS layer FROM t WHERE src = 's3'")
+@query(
+    f"WITH {EDGES}, t AS (SELECT * FROM e WHERE length(dst) <> 3), h1 AS (SELECT DISTINCT dst AS node FROM t WHERE src = 's3' AND src LIKE 's%'), h2 AS (SELECT DISTINCT dst AS node FROM t WHERE src IN (SELECT node FROM h1) AND dst <> 's3' AND dst NOT IN (SELECT node FROM h1)) SELECT node, 1::BIGINT AS layer FROM h1 UNION ALL SELECT node, 2 FROM h2"
+)
 def traverse_typed(spark, d):
-    return graph.traverse(typed(spark, d), seed(spark, "s3"), ["calls"], depth=2)
+    return graph.traverse(typed(spark, d), seed(spark, "s3"), ["calls", "inherits"], depth=2)
+
+
+@query(f"WITH {IMPACT} SELECT src, dst FROM e WHERE dst = 'p7' OR dst IN (SELECT node FROM im WHERE layer < (SELECT max(layer) FROM im))")
+def impact_chains(spark, d):
+    e, s = edges(spark, d), seed(spark, "p7")
+    return graph.chains(e, graph.impact(e, s, 3), s)
 
 
 @query(f"WITH {EDGES} SELECT src, dst FROM e WHERE dst IN ('p1', 'p2', 'p3', 's5') AND src NOT IN ('p1', 'p2', 'p3', 's5')")
@@ -237,54 +272,15 @@ def graph_patch(spark, d):
     return graph.patch(edges(spark, d).select("src", "dst"), old, spark.range(1).select(F.lit("s1").alias("src"), F.lit("p1").alias("dst")))
 
 
-def whole_edges(spark, d):
-    """As edges, from every row of lineitem."""
-    li = table(spark, d, "lineitem")
-    supplier, part, after = F.concat(F.lit("s"), F.col("l_suppkey")), F.concat(F.lit("p"), F.col("l_partkey")), F.concat(F.lit("s"), F.col("l_suppkey") + 1)
-    site = F.col("l_shipdate").cast("string").alias("site")
-    return li.select(supplier.alias("src"), part.alias("dst"), site).unionByName(li.select(part.alias("src"), after.alias("dst"), site))
-
-
-WHOLE_EDGES = "e0 AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_shipdate AS site FROM lineitem UNION ALL SELECT 'p' || l_partkey, 's' || (l_suppkey + 1), l_shipdate FROM lineitem), e AS (SELECT DISTINCT src, dst FROM e0)"
-WHOLE_IMPACT = IMPACT.replace(EDGES, WHOLE_EDGES)
-
-
-@query(f"WITH {WHOLE_EDGES} SELECT src, dst, count(DISTINCT site)::BIGINT AS sites FROM e0 GROUP BY src, dst")
-def edge_sites_whole(spark, d):
-    return graph.merge_sites(whole_edges(spark, d)).select("src", "dst", F.size("sites").cast("long").alias("sites"))
-
-
-@query(f"WITH {WHOLE_EDGES} SELECT src FROM e WHERE dst = 'p7'")
-def callers_whole(spark, d):
-    return graph.callers(whole_edges(spark, d), F.col("dst") == "p7")
-
-
-@query(f"WITH {WHOLE_EDGES} SELECT dst FROM e WHERE src = 's3'")
-def callees_whole(spark, d):
-    return graph.callees(whole_edges(spark, d), F.col("src") == "s3")
-
-
-@query(f"WITH {WHOLE_IMPACT} SELECT * FROM im")
-def impact_bfs_whole(spark, d):
-    return graph.impact(whole_edges(spark, d), seed(spark, "p7"), 3)
-
-
 @query("WITH h AS (SELECT n_name AS node, r_name AS base FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'world' FROM region) SELECT node, base AS ancestor, 1::BIGINT AS distance FROM h UNION SELECT h.node, g.base, 2 FROM h JOIN h g ON h.base = g.node")
 def type_ancestors(spark, d):
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     h = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("node"), F.col("r_name").alias("base")).unionByName(r.select(F.col("r_name").alias("node"), F.lit("world").alias("base")))
-    return graph.ancestors(h, 4)
-
-
-@query("WITH c AS (SELECT l_orderkey AS site, l_partkey AS c, l_suppkey AS p FROM lineitem WHERE l_quantity > 40 UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE o_orderkey % 4 = 0) SELECT site, CASE WHEN count(DISTINCT c) = 0 THEN 'unresolved' WHEN count(DISTINCT c) = 1 THEN 'resolved' WHEN count(DISTINCT p) = 1 THEN 'overload_group' ELSE 'ambiguous' END AS status, count(DISTINCT c) AS candidates FROM c GROUP BY site")
-def classify_sites(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("site"), F.col("l_partkey").alias("candidate"), F.col("l_suppkey").alias("parent"), F.lit("f").alias("name"))
-    none = table(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("site"), *(F.lit(None).cast(t).alias(c) for c, t in (("candidate", "long"), ("parent", "long"), ("name", "string"))))
-    return graph.classify(li.unionByName(none))
+    return graph.ancestors(h)
 
 
 @query("WITH c AS (SELECT l_orderkey AS site, l_partkey AS c, l_suppkey AS p FROM lineitem UNION ALL SELECT o_orderkey, NULL, NULL FROM orders) SELECT site, CASE WHEN count(DISTINCT c) = 0 THEN 'unresolved' WHEN count(DISTINCT c) = 1 THEN 'resolved' WHEN count(DISTINCT p) = 1 THEN 'overload_group' ELSE 'ambiguous' END AS status, count(DISTINCT c) AS candidates FROM c GROUP BY site")
-def classify_sites_whole(spark, d):
+def classify_sites(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("site"), F.col("l_partkey").alias("candidate"), F.col("l_suppkey").alias("parent"), F.lit("f").alias("name"))
     none = table(spark, d, "orders").select(F.col("o_orderkey").alias("site"), *(F.lit(None).cast(t).alias(c) for c, t in (("candidate", "long"), ("parent", "long"), ("name", "string"))))
     return graph.classify(li.unionByName(none))
@@ -385,23 +381,14 @@ for _mode, _flags, _force in (("sync", "delete", False), ("push", "", True), ("p
     query(three_sql(_mode, _flags, _force))(_three)
 
 
-def branches(spark, d):
-    return table(spark, d, "lineitem").where("l_quantity > 30").select(F.col("l_suppkey").cast("string").alias("branch"), F.col("l_partkey").alias("file_id"))
-
-
-@query("SELECT p_partkey AS file_id, count(DISTINCT l_suppkey) AS refs FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 30) ON l_partkey = p_partkey GROUP BY p_partkey")
-def history_refcounts(spark, d):
-    return reconcile.reference_counts(table(spark, d, "part").select(F.col("p_partkey").alias("file_id")), branches(spark, d))
-
-
-@query("SELECT p_partkey AS file_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+@query("SELECT p_partkey AS file_id FROM part WHERE p_partkey NOT IN (SELECT o_custkey FROM orders)")
 def orphans(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("file_id"))
-    return reconcile.orphans(table(spark, d, "part").select(F.col("p_partkey").alias("file_id")), li)
+    references = table(spark, d, "orders").select(F.col("o_custkey").alias("file_id"))
+    return reconcile.orphans(table(spark, d, "part").select(F.col("p_partkey").alias("file_id")), references)
 
 
 @query("SELECT p_partkey AS file_id, count(DISTINCT l_suppkey) AS refs FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey")
-def history_refcounts_whole(spark, d):
+def history_refcounts(spark, d):
     refs = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("branch"), F.col("l_partkey").alias("file_id"))
     return reconcile.reference_counts(table(spark, d, "part").select(F.col("p_partkey").alias("file_id")), refs)
 
@@ -509,14 +496,8 @@ def snippet_slice(spark, d):
     return table(spark, d, "documents").select("doc_id", documents.snippet(F.col("text"), F.lit(3), 1, 1).alias("snippet"))
 
 
-@query("WITH r AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS id FROM benchmark), c AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS id FROM documents WHERE doc_id % 10 = 0) SELECT id FROM r WHERE id NOT IN (SELECT id FROM c)")
-def requirement_gap(spark, d):
-    words = lambda t: t.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("id"))
-    return documents.gaps(words(table(spark, d, "benchmark")), words(table(spark, d, "documents").where("doc_id % 10 = 0")).distinct())
-
-
 @query("WITH r AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS id FROM benchmark), c AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS id FROM documents) SELECT id FROM r WHERE id NOT IN (SELECT id FROM c)")
-def requirement_gap_whole(spark, d):
+def requirement_gap(spark, d):
     words = lambda t: t.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("id"))
     return documents.gaps(words(table(spark, d, "benchmark")), words(table(spark, d, "documents")).distinct())
 

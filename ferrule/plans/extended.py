@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import text
 from ferrule.operators import graph, lexical, parsers, releases, sessions
-from ferrule.plans.catalogue import EDGES, EST, QUERY, ROLL, edges, query, steps, symbols, table, telemetry
+from ferrule.plans.catalogue import EDGES, EST, ROLL, edges, found, query, steps, table, telemetry
 
 PARTS = "y AS (SELECT p_partkey AS id, p_brand AS name, p_type || '.' || p_brand AS fqn FROM part)"
 WANTED = ("Brand#11", "brand#12", "BRAND#13", "STANDARD.Brand#11", "promo.brand#21", "nothing")
@@ -25,7 +25,7 @@ def type_siblings(spark, d):
     return graph.siblings(table(spark, d, "part").withColumnRenamed("p_partkey", "id"), ["p_brand", "p_size"])
 
 
-@query("WITH y AS (SELECT p_partkey AS id, p_type AS fqn, p_brand AS stem, p_size % 2 = 0 AS h FROM part) SELECT a.id AS src, b.id AS dst FROM y a JOIN y b USING (stem, fqn) WHERE a.h AND NOT b.h")
+@query("WITH y AS (SELECT p_partkey AS id, p_type AS fqn, p_brand AS stem, p_size % 2 = 0 AS h FROM part), g AS (SELECT stem, fqn, min(id) FILTER (h) AS lh, min(id) FILTER (NOT h) AS lb FROM y GROUP BY ALL) SELECT CASE WHEN h THEN id ELSE lh END AS src, CASE WHEN h THEN lb ELSE id END AS dst FROM y JOIN g USING (stem, fqn) WHERE lh IS NOT NULL AND lb IS NOT NULL AND (h OR id <> lb)")
 def header_declares(spark, d):
     path = F.concat(F.lit("src/"), "p_brand", F.when(F.col("p_size") % 2 == 0, ".h").otherwise(".cpp"))
     return graph.declares(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("fqn"), path.alias("file_path")))
@@ -51,10 +51,10 @@ def selected_overload(spark, d):
     return graph.overload(li, "site", 3)
 
 
-@query("SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS members, array_to_string(list_sort(list(DISTINCT p_size::VARCHAR)), ',') AS bases, md5(string_agg(p_name, chr(10) ORDER BY p_partkey)) AS doc, min(p_partkey) AS id FROM part GROUP BY p_brand")
+@query("WITH r AS (SELECT DISTINCT p_brand, 'member' AS what, p_type AS value, NULL::BIGINT AS part FROM part UNION SELECT p_brand, 'base', p_size::VARCHAR, NULL FROM part UNION SELECT p_brand, 'doc', p_name, p_partkey FROM part) SELECT r.*, id FROM r JOIN (SELECT p_brand, min(p_partkey) AS id FROM part GROUP BY p_brand) USING (p_brand)")
 def partial_merge(spark, d):
     p = table(spark, d, "part").select("p_brand", F.col("p_partkey").alias("id"), F.array("p_type").alias("members"), F.array(F.col("p_size").cast("string")).alias("bases"), F.col("p_name").alias("doc"))
-    return graph.merge_parts(p, ["p_brand"]).select("p_brand", F.array_join("members", ",").alias("members"), F.array_join("bases", ",").alias("bases"), F.md5("doc").alias("doc"), "id")
+    return graph.merge_parts(p, ["p_brand"])
 
 
 @query("WITH r AS (SELECT p_partkey, p_brand, p_size % 5 AS triplet, row_number() OVER (PARTITION BY p_brand, p_size % 5 ORDER BY p_partkey DESC) AS n FROM part) SELECT p_partkey, p_brand, triplet, CASE WHEN n <= CASE WHEN triplet = 2 THEN 3 ELSE 1 END THEN 'kept' ELSE 'pruned' END AS state FROM r")
@@ -73,7 +73,7 @@ def update_urgency(spark, d):
     f"{ROLL}, o AS (SELECT *, row_number() OVER w AS rank, lag(total_score) OVER w AS p, first(total_score) OVER w AS t FROM r WINDOW w AS (ORDER BY total_score DESC, file_path)) SELECT file_path, total_score, hits, top_items, rank FROM o WHERE rank < coalesce((SELECT min(rank) FROM o WHERE rank > 1 AND (total_score < greatest(0.2 * t, CASE WHEN t >= 0.5 THEN 0.5 ELSE 0 END) OR rank > 15 OR (rank > 3 AND (total_score < 0.4 * p OR total_score < 0.15 * t)))), 1000)"
 )
 def render_cutoff(spark, d):
-    hits = lexical.roll_up(lexical.search(symbols(spark, d), QUERY, limit=None), limit=50)
+    hits = lexical.roll_up(found(spark, d, None), limit=50)
     return lexical.render_cut(hits.withColumn("total_score", F.round("total_score", 6)), "total_score", "file_path")
 
 

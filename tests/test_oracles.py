@@ -3,7 +3,7 @@
 import pytest
 from agree import assert_agree
 
-from ferrule.plans import catalogue, extended  # noqa: F401
+from ferrule.plans import catalogue, extended, linked, more  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))

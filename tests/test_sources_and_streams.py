@@ -5,8 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from ferrule.operators import lexical
-from ferrule.plans.catalogue import QUERY, symbols
-from ferrule.sources import files
+from ferrule.sources import files, scratch
 from ferrule.streaming import changes
 
 
@@ -50,12 +49,26 @@ def test_bundles(spark, tmp_path):
     assert sorted((r.space, r.id) for r in got.collect()) == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3)]
 
 
-def test_an_index_answers_as_the_scan_does(spark, sf_dir, tmp_path):
-    s, path = symbols(spark, sf_dir), str(tmp_path / "index")
-    lexical.write_index(s, path, parts=4)
-    want = [(r.doc, round(r.score, 6), r.matched) for r in lexical.search(s, QUERY).collect()]
-    found = lexical.search_index(spark, path, QUERY)
-    assert [(r.doc, round(r.score, 6), r.matched) for r in found.collect()] == want
+def test_index_versions_filters_and_boost(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = [(1, "PidController", "", "", "pid control loop", "h", "a/x", "f1"), (2, "app.motor::PID", "", "", "motor driver of pid", "cpp", "b", "f2"), (3, "Other", "f(pid)", "pid", "nothing here", "cpp", "b", "f3"), (4, None, None, None, None, None, None, None)]
+    schema = "id long, name string, signature string, members string, docstring string, language string, space string, file_path string"
+    lexical.write_index(spark.createDataFrame(rows, schema), path, parts=4, mark="one")
+    got = [r.doc for r in lexical.search_index(spark, path, "pid").collect()]
+    assert sorted(got) == [1, 2, 3] and got[0] == 2  # its last segment is the query
+    assert [r.doc for r in lexical.search_index(spark, path, "pid", where=F.col("language") == "h").collect()] == [1]
+    assert lexical.search_index(spark, path, "the of").collect() == [] and lexical.search_index(spark, path, "unknown").collect() == []
+    assert lexical.search_index(spark, path, "unknown").schema == lexical.search_index(spark, path, "pid").schema
+    both = {r.doc: r.score for r in lexical.search_index(spark, path, "pid pid control", limit=None).collect()}
+    assert both[1] > both[2] and 3 in both  # repeated terms count in the coverage: one of three distinct, so 3 has 1/3
+    fresh = spark.createDataFrame([(3, "Pid", "", "", "pid", "cpp", "b", "f3")], schema)
+    lexical.patch_index(spark, path, spark.createDataFrame([(3,), (1,)], "doc long"), fresh, mark="two")
+    assert [r.doc for r in lexical.search_index(spark, path, "pid", limit=None).collect()][0] == 3
+    assert scratch.pointer(spark, path) == {"version": 2, "mark": "two"}
+    again = str(tmp_path / "again")
+    lexical.write_index(spark.createDataFrame([rows[1], tuple(fresh.first()), rows[3]], schema), again, parts=4)
+    plain = lambda p: [(r.doc, round(r.score, 9), r.matched) for r in lexical.search_index(spark, p, "motor pid", limit=None).collect()]
+    assert plain(path) == plain(again)
 
 
 def test_generations_follow_a_stream(spark, tmp_path):

@@ -6,7 +6,7 @@ from ferrule.plans import catalogue
 def test_requirement_gap_reads_every_document(spark, tmp_path):
     spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(10, "alpha"), (11, "beta")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [r.id for r in catalogue.QUERIES["requirement_gap_whole"](spark, str(tmp_path)).collect()] == ["gamma"]
+    assert [r.id for r in catalogue.QUERIES["requirement_gap"](spark, str(tmp_path)).collect()] == ["gamma"]
 
 
 def test_references_come_from_every_line(spark, tmp_path):
@@ -14,5 +14,5 @@ def test_references_come_from_every_line(spark, tmp_path):
     rows = [(3, 7, 1, 10.0, "2024-01-01"), (4, 7, 2, 40.0, "2024-01-02")]
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
     run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
-    assert [(r.file_id, r.refs) for r in run("history_refcounts_whole")] == [(7, 2)]
-    assert sorted((r.src, r.dst, r.sites) for r in run("edge_sites_whole")) == [("p7", "s4", 1), ("p7", "s5", 1), ("s3", "p7", 1), ("s4", "p7", 1)]
+    assert [(r.file_id, r.refs) for r in run("history_refcounts")] == [(7, 2)]
+    assert sorted((r.src, r.dst, r.sites) for r in run("edge_sites")) == [("p7", "s4", 1), ("p7", "s5", 1), ("s3", "p7", 1), ("s4", "p7", 1)]
