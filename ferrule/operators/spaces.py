@@ -14,7 +14,7 @@ def compose(children: DataFrame, own: DataFrame, minus: DataFrame | None = None)
     return rows.unionByName(own).groupBy("rel_path").agg(F.sort_array(F.collect_set("space")).alias("spaces"))
 
 
-def diff(before: DataFrame, now: DataFrame, racy_ns: int = 10_000_000) -> DataFrame:
+def diff(before: DataFrame, now: DataFrame) -> DataFrame:
     """rel_path and change between two snapshots (rel_path, size, mtime_ns, content_hash): touched if only the time differs."""
     b = before.select("rel_path", *(F.col(c).alias(f"b_{c}") for c in ("size", "mtime_ns", "content_hash")), F.lit(True).alias("b"))
     n = now.select("rel_path", *(F.col(c).alias(f"n_{c}") for c in ("size", "mtime_ns", "content_hash")), F.lit(True).alias("n"))
@@ -23,6 +23,17 @@ def diff(before: DataFrame, now: DataFrame, racy_ns: int = 10_000_000) -> DataFr
     return b.join(n, "rel_path", "full_outer").select("rel_path", change.alias("change"))
 
 
+def to_hash(before: DataFrame, listed: DataFrame, scanned_ns: int, racy_ns: int = 10_000_000) -> DataFrame:
+    """listed (rel_path, size, mtime_ns) with content_hash where the one before can be kept, else null: the file must be read.
+
+    Kept are files of the same size and time, unless written so shortly before the scan before that they may have changed in the
+    same tick of the clock (before has scanned_ns, when it was made; the one given counts where it has none).
+    """
+    old = before.select("rel_path", F.col("size").alias("_s"), F.col("mtime_ns").alias("_t"), F.col("content_hash").alias("_h"), (F.coalesce("scanned_ns", F.lit(scanned_ns)) if "scanned_ns" in before.columns else F.lit(scanned_ns)).alias("_at"))
+    clean = (F.col("_s") == F.col("size")) & (F.col("_t") == F.col("mtime_ns")) & (F.col("_at") - F.col("mtime_ns") > racy_ns)
+    return listed.join(old, "rel_path", "left").withColumn("content_hash", F.when(clean, F.col("_h"))).drop("_s", "_t", "_h", "_at")
+
+
 def advance(state: DataFrame, changes: DataFrame, generation: int) -> DataFrame:
     """The generation table (rel_path, created_gen, updated_gen, is_deleted) after a diff; a file made anew is created anew."""
     joined = state.join(changes.where(F.col("change").isin("added", "modified", "deleted")), "rel_path", "full_outer")

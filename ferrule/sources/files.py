@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.operators import rules, spaces
+from ferrule.sources import scratch
 
 
 def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, space: str = "") -> DataFrame:
@@ -44,8 +45,21 @@ def newest(rows: DataFrame, order: str, n: int) -> DataFrame:
     return rows.orderBy(F.desc(order)).limit(n)
 
 
-def append_json(rows: DataFrame, path: str) -> None:
+def append_json(rows: DataFrame, path: str, order: str | None = None, most_bytes: int = 0, keep: int = 0) -> None:
+    """Add rows to a folder of JSON lines. Past so many bytes only the newest rows by a column stay: they are written beside the old
+    files, which go only then."""
+    spark = rows.sparkSession
     rows.write.mode("append").json(path)
+    if not most_bytes:
+        return
+    sizes = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("path", "length")
+    if (sizes.agg(F.sum("length").alias("n")).first()["n"] or 0) <= most_bytes:
+        return
+    kept = newest(spark.read.json(path), order, keep)
+    fresh = f"{path}-rotated"
+    kept.write.mode("overwrite").json(fresh)
+    spark.read.json(fresh).write.mode("overwrite").json(path)
+    scratch.delete(spark, fresh)
 
 
 #: Where the dialects of conversation logs have what a step needs; the first that is there counts.
@@ -60,15 +74,18 @@ def transcripts(lines: DataFrame, column: str = "value", dialect: dict = DIALECT
 
 
 def save_snapshot(state: DataFrame, path: str) -> None:
-    """A generation table and, beside it, one row that sums it up and vouches for it."""
+    """A generation table and, beside it, one row that sums it up and vouches for it: both in one new version, named when whole."""
     spark = state.sparkSession
-    state.write.mode("overwrite").parquet(f"{path}/rows")
-    summary_of(spark.read.parquet(f"{path}/rows")).write.mode("overwrite").parquet(f"{path}/summary")
+    version = scratch.pointer(spark, path)["version"] + 1
+    state.write.mode("overwrite").parquet(f"{path}/{version}/rows")
+    summary_of(spark.read.parquet(f"{path}/{version}/rows")).write.mode("overwrite").parquet(f"{path}/{version}/summary")
+    scratch.point(spark, path, version)
 
 
 def summary_of(state: DataFrame) -> DataFrame:
-    check = F.coalesce(F.bit_xor(F.xxhash64(*sorted(state.columns))), F.lit(0))
-    return state.agg(F.coalesce(F.max("updated_gen"), F.lit(0)).alias("head"), F.count_if(~F.col("is_deleted")).alias("active"), F.count("*").alias("rows"), check.alias("checksum"))
+    """The checksum adds two hashes of each row, so equal rows don't cancel and lost ones show."""
+    part = lambda *salt: F.coalesce(F.sum(F.xxhash64(*salt, *sorted(state.columns)).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return state.agg(F.coalesce(F.max("updated_gen"), F.lit(0)).alias("head"), F.count_if(~F.col("is_deleted")).alias("active"), F.count("*").alias("rows"), F.concat_ws(":", part(), part(F.lit("second"))).alias("checksum"))
 
 
 def snapshot_summary(spark: SparkSession, path: str):
@@ -76,7 +93,7 @@ def snapshot_summary(spark: SparkSession, path: str):
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.parquet(f"{path}/summary").first()
+        return spark.read.parquet(f"{path}/{scratch.pointer(spark, path)['version']}/summary").first()
     except AnalysisException:
         return None
 
@@ -87,7 +104,7 @@ def load_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
     want = snapshot_summary(spark, path)
     if want is None:
         return empty
-    rows = spark.read.schema(schema).parquet(f"{path}/rows")
+    rows = spark.read.schema(schema).parquet(f"{path}/{scratch.pointer(spark, path)['version']}/rows")
     return rows if summary_of(rows).first() == want else empty
 
 
@@ -95,14 +112,23 @@ def write_bundles(symbols: DataFrame, path: str, spaces_col: str = "spaces") ->
     """JSON files by space; a symbol without spaces is in every bundle."""
     named = symbols.select(F.explode(spaces_col).alias("_s")).distinct()
     own = symbols.withColumn("space", F.explode(spaces_col))
-    free = symbols.where(F.size(spaces_col) == 0).crossJoin(F.broadcast(named.limit(10_000).withColumnRenamed("_s", "space")))  # spaces are a short list of names
+    free = symbols.where(F.size(spaces_col) == 0).crossJoin(named.withColumnRenamed("_s", "space"))  # so the output asks for: each of them in every bundle
     own.unionByName(free).write.mode("overwrite").partitionBy("space").json(path)
 
 
-def tail(lines: DataFrame, order: str, offset: int) -> tuple[DataFrame, int]:
-    """Rows past an offset and the new offset; an offset beyond the end means that the log was cut, so it starts anew."""
+def tail(lines: DataFrame, order: str, offset: int, identity: str | None = None, known: str | None = None) -> tuple[DataFrame, int]:
+    """Rows past an offset and the new offset. An offset beyond the end means that the log was cut, another identity (what the log's
+    first row or file says it is) that it is another log: both start anew."""
     top = lines.agg(F.coalesce(F.max(order), F.lit(0)).alias("m")).first()["m"]
-    return lines.where(F.col(order) > (offset if offset <= top else 0)), top
+    return lines.where(F.col(order) > (offset if offset <= top and identity == known else 0)), top
+
+
+def full_siblings(files: DataFrame) -> DataFrame:
+    """files (rel_path) of transcripts without those that have a full form beside them: of x.jsonl and x_full.jsonl the latter."""
+    full = r"_full\.jsonl$"
+    named = files.withColumn("_k", F.regexp_replace(F.regexp_replace("rel_path", full, ".jsonl"), r"\.jsonl$", "")).withColumn("_f", F.col("rel_path").rlike(full))
+    with_full = named.where("_f").select("_k").distinct()
+    return named.where("_f").unionByName(named.where("NOT _f").join(with_full, "_k", "left_anti").select(*named.columns)).drop("_k", "_f")
 
 
 def ranked_plans(plans: DataFrame, limit: int = 20) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.operators import spaces
+from ferrule.sources import scratch
 from ferrule.sources.files import load_snapshot, save_snapshot, snapshot_summary
 
 STATE = "rel_path string, created_gen long, updated_gen long, is_deleted boolean"
@@ -26,43 +27,38 @@ def event_counts(events: DataFrame, by: str, size: str = "5 minutes", late: str
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), by).agg(F.count("*").alias("events")).select(F.col("w.start").alias("start"), by, "events")
 
 
-def apply_changes(spark: SparkSession, changes: DataFrame, path: str) -> int:
+def apply_changes(spark: SparkSession, changes: DataFrame, path: str, batch: str | None = None) -> int:
     """The generation table at path after a batch of changes (rel_path, seq, exists); the new head.
 
     Of several changes of a path the last counts. A path that is known and alive is modified, else added; one that is gone is
-    deleted. Without a change in effect the generation stays. The new table is written beside the old one and then named in
-    its place, so a failed batch leaves what was there and can run again.
+    deleted. Without a change in effect the generation stays. The new table is written beside the old one and named, with the
+    batch, in its place: a batch that failed leaves what was there and can run again, and one that is named is not taken twice.
     """
-    now = snapshot_summary(spark, f"{path}/{(version := current(spark, path))}")
+    at = scratch.pointer(spark, path)
+    now = snapshot_summary(spark, f"{path}/{at['version']}")
     head = (now["head"] if now else 0) + 1
-    state = load_snapshot(spark, f"{path}/{version}", STATE)
+    if batch is not None and at["mark"] == batch:
+        return head - 1
+    state = load_snapshot(spark, f"{path}/{at['version']}", STATE)
     last = changes.groupBy("rel_path").agg(F.max_by("exists", "seq").alias("exists"))
     alive = state.select("rel_path", (~F.col("is_deleted")).alias("alive"))
     change = F.when(F.col("exists") & F.coalesce("alive", F.lit(False)), "modified").when(F.col("exists"), "added").when(F.col("alive"), "deleted")
     diff = last.join(alive, "rel_path", "left").select("rel_path", change.alias("change")).where("change IS NOT NULL")
+    diff = scratch.written(diff, "changes")
     if diff.isEmpty():
         return head - 1
-    save_snapshot(spaces.advance(state, diff, head), f"{path}/{version + 1}")
-    spark.range(1).select(F.lit(version + 1).cast("long").alias("version")).write.mode("append").parquet(f"{path}/versions")
+    save_snapshot(spaces.advance(state, diff, head), f"{path}/{at['version'] + 1}")
+    scratch.point(spark, path, at["version"] + 1, batch)
     return head
 
 
-def current(spark: SparkSession, path: str) -> int:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(f"{path}/versions").agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()["v"]
-    except AnalysisException:
-        return 0
-
-
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    return load_snapshot(spark, f"{path}/{current(spark, path)}", STATE)
+    return load_snapshot(spark, f"{path}/{scratch.pointer(spark, path)['version']}", STATE)
 
 
 def maintain(changes: DataFrame, path: str, checkpoint: str, every: str = "5 seconds", once: bool = False):
-    """A query that keeps the generation table at path; the trigger's interval is the debounce."""
-    writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: apply_changes(df.sparkSession, df, path))
+    """A query that keeps the generation table at path; the trigger's interval is the debounce. Each batch counts once."""
+    writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: apply_changes(df.sparkSession, df, path, f"{checkpoint}#{n}"))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
@@ -103,7 +99,7 @@ class Consumer:
             return 0
 
     def head(self) -> int:
-        found = snapshot_summary(self.spark, f"{self.state_path}/{current(self.spark, self.state_path)}")
+        found = snapshot_summary(self.spark, f"{self.state_path}/{scratch.pointer(self.spark, self.state_path)['version']}")
         return found["head"] if found else 0
 
     def ack(self, generation: int) -> None:
