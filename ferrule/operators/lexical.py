@@ -82,10 +82,10 @@ def entries(symbols: DataFrame, parts: int, id_col: str = "id", attributes: tupl
 
 
 def put_index(rows: DataFrame, measures: DataFrame, path: str, parts: int, mark: str | None) -> None:
-    """A new version of the index from its rows and the documents' lengths, named once it is whole: readers never see half of one."""
+    """A new version of the index from its rows (dealt out by part) and the documents' lengths, named once it is whole: readers never see half of one."""
     spark, version = rows.sparkSession, scratch.pointer(rows.sparkSession, path)["version"] + 1
     to = f"{path}/{version}"
-    rows.repartition(parts, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{to}/postings")
+    rows.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{to}/postings")
     spark.read.parquet(f"{to}/postings").groupBy("part", "term").agg(F.count("*").alias("df")).repartition(parts, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{to}/terms")
     measures.write.mode("overwrite").parquet(f"{to}/lengths")
     statistics(spark.read.parquet(f"{to}/lengths")).withColumn("parts", F.lit(parts)).write.mode("overwrite").parquet(f"{to}/statistics")
@@ -102,7 +102,7 @@ def patch_index(spark: SparkSession, path: str, dirty: DataFrame, new: DataFrame
     at = f"{path}/{scratch.pointer(spark, path)['version']}"
     parts = spark.read.parquet(f"{at}/statistics").first()["parts"]
     rows = spark.read.parquet(f"{at}/postings").withColumn("part", F.col("part").cast("int"))
-    put_index(patched(rows, dirty, entries(new, parts, id_col)), patched(spark.read.parquet(f"{at}/lengths"), dirty, lengths(new, id_col)), path, parts, mark)
+    put_index(patched(rows, dirty, entries(new, parts, id_col)).repartition(parts, "part"), patched(spark.read.parquet(f"{at}/lengths"), dirty, lengths(new, id_col)), path, parts, mark)
 
 
 def search_index(spark: SparkSession, path: str, text: str, where: Column | None = None, min_score: float = 0.0, limit: int | None = 10, weight: Column | None = None) -> DataFrame:

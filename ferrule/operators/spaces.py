@@ -73,3 +73,10 @@ def status(state: DataFrame, cursors: DataFrame) -> DataFrame:
     """Per space: live files, tombstones, head generation, and its slowest consumer."""
     s = state.groupBy("space").agg(F.count_if(~F.col("is_deleted")).alias("active"), F.count_if("is_deleted").alias("deleted"), F.max("updated_gen").alias("head"))
     return s.join(cursors.groupBy("space").agg(F.min("acked_generation").alias("slowest")), "space", "left")
+
+
+def workspace_status(edges: DataFrame, statistics: DataFrame) -> DataFrame:
+    """One row: nodes and distinct edges of a graph (src, dst), documents of an index (its row of statistics)."""
+    e = edges.select("src", "dst").distinct().agg(F.count("*").alias("edges"))
+    n = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().agg(F.count("*").alias("nodes"))
+    return n.crossJoin(F.broadcast(e)).crossJoin(F.broadcast(statistics.select(F.col("docs").alias("documents"))))  # rows of one

@@ -13,7 +13,7 @@ from ferrule.functions import semver, text
 from ferrule.operators import documents, graph, lexical, reconcile, rules, sessions, spaces, vector
 from ferrule.sources import scratch
 
-QUERY = "the onnd of thetion erand"
+QUERY = "the thnd of thon thre erer thnd"
 R6 = lambda c: F.round(c, 6)
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferrule.functions import nested, text
-from ferrule.operators import graph, ledgers, lexical, selection, sessions, spaces, vector
-from ferrule.plans.catalogue import SNAP, STATE, found, probe, query, snapshots, state, table, tok, vectors
-from ferrule.sources import catalog, files, remote
+from ferrule.operators import dependencies, documents, graph, ledgers, lexical, linker, selection, sessions, spaces, vector
+from ferrule.plans.catalogue import EDGES, SNAP, STATE, VER, edges, found, index, probe, query, snapshots, state, table, tok, vectors, versions
+from ferrule.sources import catalog, files, remote, scratch
 
 c = F.col
 
@@ -222,3 +222,40 @@ def content_hashes(spark, d):
 @query(None)
 def mock_embeddings(spark, d):
     return table(spark, d, "documents").select("doc_id", nested.mock_vector(c("text"), 16).alias("embedding"))
+
+
+@query(f"WITH {VER}, f AS (SELECT min(p_brand) AS root FROM part) SELECT CASE WHEN p_brand = root THEN (SELECT count(DISTINCT p_brand) - 1 FROM part) ELSE 0 END AS place, p_brand AS name, arg_max(version, k) AS version FROM w, f WHERE p_brand = root OR a < 2 GROUP BY p_brand, root")
+def solve_versions(spark, d):
+    """The first brand needs every other one below 2."""
+    v = versions(spark, d)
+    first = v.agg(F.min("p_brand").alias("b")).first()["b"]
+    releases = v.select(c("p_brand").alias("name"), "version").distinct()
+    others = releases.where(c("name") != first).select(c("name").alias("needs")).distinct()
+    requires = releases.where(c("name") == first).crossJoin(F.broadcast(others)).select("name", "version", "needs", F.lit("<2.0.0-0").alias("constraint"))  # the broadcast has a row a name
+    requests = spark.range(1).select(F.lit(first).alias("name"), F.lit("*").alias("constraint"))
+    return dependencies.solve(requests, releases, requires)
+
+
+SCORED = "c AS (SELECT l_orderkey AS site, l_partkey AS candidate, CASE WHEN lower(l_returnflag) = lower(left(p_brand, 1)) THEN 15 WHEN contains(lower(p_brand), lower(l_returnflag)) THEN 10 ELSE 0 END + CASE WHEN lower(p_brand) = 'brand#' || (l_suppkey % 60) THEN 8 ELSE 0 END + CASE WHEN p_size % 3 = l_suppkey % 3 AND p_size % 2 = l_suppkey % 2 THEN 5 WHEN p_size % 3 = l_suppkey % 3 THEN 4 ELSE 0 END + CASE WHEN p_size % 4 = l_linenumber THEN 5 ELSE 0 END AS points FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+@query(f"WITH {SCORED} SELECT site, arg_min(candidate, (-points, candidate)) AS candidate, max(points)::INT AS points FROM c WHERE points > 0 GROUP BY site")
+def scored_calls(spark, d):
+    """Each order's line items are candidates of one call; the points come from their parts."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), c("l_partkey") == c("p_partkey"))
+    path = lambda a, b: F.concat(F.lit("d"), a % 3, F.lit("/f"), b % 2, F.lit(".py"))
+    score = linker.points(c("l_returnflag"), c("p_brand"), F.concat(F.lit("Brand#"), c("l_suppkey") % 60), path(c("p_size"), c("p_size")), path(c("l_suppkey"), c("l_suppkey")), c("p_size") % 4, c("l_linenumber"))
+    return graph.best_candidate(li.select(c("l_orderkey").alias("site"), c("l_partkey").alias("candidate"), score.alias("points")))
+
+
+@query("WITH t AS (SELECT p_partkey, string_split(repeat(p_name || chr(10), 12), chr(10)) AS ls FROM part) SELECT p_partkey, array_to_string(ls[6:10], chr(10)) AS lines FROM t")
+def trimmed_snippets(spark, d):
+    """Lines 1 to 13 around line 8, of which the five around it stay."""
+    body = F.repeat(F.concat("p_name", F.lit("\n")), F.lit(12))
+    return table(spark, d, "part").select("p_partkey", documents.snippet(body, F.lit(8), 7, 5, 5).alias("lines"))
+
+
+@query(f"WITH {EDGES}, k AS (SELECT count(DISTINCT src || '>' || dst) AS edges FROM e0), n AS (SELECT count(*) AS nodes FROM (SELECT src AS x FROM e0 UNION SELECT dst FROM e0)) SELECT nodes, edges, (SELECT count(*) FROM documents) AS documents FROM k, n")
+def workspace_status(spark, d):
+    """One row: nodes and edges of the graph, documents of the index."""
+    return spaces.workspace_status(edges(spark, d), spark.read.parquet(f"{(path := index(spark, d))}/{scratch.pointer(spark, path)['version']}/statistics"))

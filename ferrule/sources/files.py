@@ -18,6 +18,63 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
     return out.where(rules.decide(F.col("rel_path"), include or [], exclude or [])["matched"])
 
 
+def walk(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, space: str = "", batch: int = 10_000) -> DataFrame:
+    """As scan, but folders that the rules exclude are never listed, and a file reached by several ways (links) comes once, by its least path.
+
+    The driver lists folder by folder, and holds names of at most a batch of files: each is written as a part of a table.
+    """
+    import re
+
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(conf)
+    base = fs.makeQualified(base).toString().rstrip("/")
+    names = [re.compile(rules.glob_regex(p.rstrip("/")).replace("\\z", "\\Z")) for p in exclude or [] if "/" not in p.rstrip("/")]
+    schema = "rel_path string, abs_path string, real string, size long, modified timestamp"
+    out, rows, queue = scratch.new_path(spark, "walk"), [], [""]
+    import datetime
+    import os
+
+    def flush():
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(out)
+        rows.clear()
+
+    while queue:
+        rel = queue.pop()
+        for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{base}/{rel}" if rel else base)):
+            name, path = s.getPath().getName(), s.getPath().toString()
+            own = f"{rel}/{name}" if rel else name
+            if s.isDirectory():
+                if not any(p.match(name) for p in names):
+                    queue.append(own)
+                continue
+            real = os.path.realpath(path.removeprefix("file:")) if path.startswith("file:") else path
+            rows.append((own, path, real, s.getLen(), datetime.datetime.fromtimestamp(s.getModificationTime() / 1000)))
+            if len(rows) >= batch:
+                flush()
+    flush()
+    found = spark.read.schema(schema).parquet(out)
+    found = found.where(rules.decide(F.col("rel_path"), include or [], exclude or [])["matched"])
+    once = found.groupBy("real").agg(F.min_by(F.struct("rel_path", "abs_path", "size", "modified"), "rel_path").alias("f"))
+    return once.select("f.*", F.lit(space).alias("space"))
+
+
+def write_text(spark: SparkSession, path: str, text: str | bytes | dict | list) -> None:
+    """A small file as a whole, or not at all: written beside its place and renamed. Maps and lists as JSON."""
+    import json
+    import uuid
+
+    data = text if isinstance(text, bytes) else (text if isinstance(text, str) else json.dumps(text, ensure_ascii=False)).encode()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, new = at.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(new, True)
+    stream.write(bytearray(data))
+    stream.close()
+    fs.delete(at, False)
+    if not fs.rename(new, at):
+        raise OSError(f"{path} could not be put in place")
+
+
 def contents(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """scan with each file's text."""
     texts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("abs_path"), F.col("content").cast("string").alias("text"))

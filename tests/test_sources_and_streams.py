@@ -20,6 +20,22 @@ def test_scan_with_rules(spark, tmp_path):
     assert {r.rel_path: r.text for r in files.contents(spark, str(tmp_path), ["*.txt"]).collect()} == {"b.txt": "b.txt"}
 
 
+def test_walk_leaves_folders_out(spark, tmp_path):
+    for name in ("a.py", "sub/c.py", "skip/d.py", "sub/skip/deep/e.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "z.py").symlink_to(tmp_path / "a.py")
+    (tmp_path / "skip").chmod(0o000)
+    try:
+        got = files.walk(spark, str(tmp_path), ["*.py"], ["skip"], "own").collect()
+    finally:
+        (tmp_path / "skip").chmod(0o755)
+    assert sorted(r.rel_path for r in got) == ["a.py", "sub/c.py"]
+    files.write_text(spark, str(tmp_path / "x.json"), {"a": "é"})
+    files.write_text(spark, str(tmp_path / "x.json"), {"a": [1]})
+    assert (tmp_path / "x.json").read_text() == '{"a": [1]}' and len(list(tmp_path.glob("x.json*"))) == 1
+
+
 def test_json_lines_and_transcripts(spark, tmp_path):
     lines = ['{"n": 1, "cmd": "a"}', "broken {", '{"n": 3, "cmd": "b"}', '{"n": 2, "cmd": "a"}']
     (tmp_path / "log.jsonl").write_text("\n".join(lines))
