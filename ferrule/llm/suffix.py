@@ -1,13 +1,14 @@
 """Repeated byte strings across documents, and the linear suffix grouping that orders suffixes.
 
 `suffix_array` is the linear construction: suffixes in groups by Lyndon prefix, groups in descending order, previous-smaller
-pointers, then the groups' order emitted without recursion. It runs over one text in one task, some microseconds a byte in
-Python, so the corpus operator below takes another way to the same answer (README has the figures):
+pointers, then the groups' order emitted without recursion. Over a whole corpus it would be one task and some microseconds a
+byte, so it orders what can repeat, a bounded group at a time (README has the figures):
 
 1.  Every window of SPAN bytes picks its least-hashed GRAM as anchor. Equal windows pick equal anchors at equal places, so
     only windows of anchors that occur again can repeat. A run of windows with one anchor is one row.
 2.  Equal runs (anchor, extent, content hashed) are counted: those met twice are repeated as a whole.
-3.  Where an anchor's runs differ, a run met once is compared with one of each other content, window by window.
+3.  Where an anchor's runs differ, the suffixes of its contents (one of each) are ordered by `suffix_array`: neighbours that
+    share SPAN bytes are repeated.
 Hot anchors never meet in one task: counts are pre-aggregated, joins are with written tables, whose skew Spark splits, and
 anchors with more than GROUP contents are compared by counting their windows one by one.
 """
@@ -28,6 +29,8 @@ shipped(__name__)
 SPAN, GRAM = 200, 64
 #: Bytes hashed at a time; contents of an anchor that meet in one task; bits of the sketch of repeated anchors (16 MB).
 STEP, GROUP, SKETCH_BITS = 1 << 17, 1024, 27
+#: Bytes of an anchor's contents that are ordered together at most: GROUP of the longest runs.
+GROUP_BYTES = 1 << 19
 #: Runs whose windows are hashed together, but for an anchor that has more.
 BLOCK_ROWS = 2048
 SEED_2 = 0x5DEECE66D
@@ -37,83 +40,108 @@ def suffix_array(text: bytes) -> list[int]:
     """The order of text's suffixes by linear grouping (two phases), an empty end being least.
 
     Phase 1 goes through the groups in descending order. Members of a group share a Lyndon prefix of the group's length;
-    each member's previous-smaller position is found through the pointers, and those of equal count of members split from
-    their groups into new ones that stand next after. Phase 2 emits suffixes in order: each suffix's previous-smaller
-    position is the next of its group.
+    each member's previous-smaller position is found through the pointers of those before it (members in order of place), and
+    these positions, by how many factors follow them, leave their groups for new ones that stand next after. Phase 2 emits
+    suffixes in order: each suffix's previous-smaller position is the next of its group. Groups of one, which most are, need
+    no counting.
     """
-    s = [c + 1 for c in text] + [0]
-    n = len(s)
+    n = len(text) + 1
     if n == 1:
         return []
-    # Groups by first character, each an interval [start, start + size) of order; prev: previous smaller pointers.
-    order = sorted(range(n), key=s.__getitem__)
-    at, group, size = [0] * n, [0] * n, [0] * n
-    i = 0
-    while i < n:
-        j = i
-        while j < n and s[order[j]] == s[order[i]]:
-            at[order[j]], group[order[j]] = j, i
-            j += 1
-        size[i] = j - i
-        i = j
-    prev: list[int] = [-2] * n
-
-    def smaller(i: int) -> int:
-        """The nearest position to the left in a lower group; pointers already known are followed."""
-        j = i - 1
-        while j >= 0 and group[j] >= group[i]:
-            j = prev[j] if prev[j] != -2 else j - 1
-        return j
-
+    first = np.zeros(n, np.int16)
+    first[:-1] = np.frombuffer(text, np.uint8)
+    first[:-1] += 1
+    by = np.argsort(first, kind="stable")
+    sorted_ = first[by]
+    heads = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    sizes = np.diff(np.append(heads, n))
+    place, groups, size_of = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.int64)
+    place[by] = np.arange(n)
+    groups[by] = np.repeat(heads, sizes)
+    size_of[heads] = sizes
+    order, at, group, size = by.tolist(), place.tolist(), groups.tolist(), size_of.tolist()
+    prev = [-2] * n
     end = n
     while end > 0:
         start = group[order[end - 1]]
-        members = order[start:end]
+        if end - start == 1:
+            end = start
+            i = order[start]
+            j = i - 1
+            while j >= 0 and group[j] >= start:
+                j = prev[j]
+            prev[i] = j
+            if j >= 0:
+                g = group[j]
+                rest = size[g] - 1
+                if rest:
+                    rear, spot = g + rest, at[j]
+                    if spot != rear:
+                        other = order[rear]
+                        order[spot], at[other] = other, spot
+                        order[rear], at[j] = j, rear
+                    size[g], size[rear], group[j] = rest, 1, rear
+            continue
+        members = sorted(order[start:end])
         end = start
+        found = []
         for i in members:
-            prev[i] = smaller(i)
-        # How many members have the same previous smaller position: that many factors follow it.
-        count: dict[int, int] = {}
-        for i in members:
-            p = prev[i]
-            if p < 0:
-                continue
-            count[p] = count.get(p, 0) + 1
-        if not count:
+            j = i - 1
+            while j >= 0 and group[j] >= start:
+                j = prev[j]
+            prev[i] = j
+            if j >= 0:
+                found.append(j)
+        if not found:
             continue
-        by_count: dict[int, list[int]] = {}
-        for p, c in count.items():
-            by_count.setdefault(c, []).append(p)
-        for c in sorted(by_count, reverse=True):
+        # found holds each previous smaller position as often as factors follow it
+        if len(set(found)) == len(found):
+            batches = (found,)
+        else:
+            count: dict[int, int] = {}
+            for p in found:
+                count[p] = count.get(p, 0) + 1
+            most: dict[int, list[int]] = {}
+            for p, c in count.items():
+                most.setdefault(c, []).append(p)
+            batches = [most[c] for c in sorted(most, reverse=True)]
+        for batch in batches:
             touched: dict[int, list[int]] = {}
-            for p in by_count[c]:
-                touched.setdefault(group[p], []).append(p)
+            for p in batch:
+                g = group[p]
+                if g in touched:
+                    touched[g].append(p)
+                else:
+                    touched[g] = [p]
             for g, ps in touched.items():
-                # ps leave the rear of their group's interval and form a group just behind what stays.
                 rear = g + size[g]
                 for p in ps:
                     rear -= 1
-                    other = order[rear]
-                    order[at[p]], order[rear] = other, p
-                    at[other], at[p] = at[p], rear
-                size[g] -= len(ps)
-                if size[g] == 0:
-                    size[g] = len(ps)
-                else:
-                    size[rear] = len(ps)
+                    spot = at[p]
+                    if spot != rear:
+                        other = order[rear]
+                        order[spot], at[other] = other, spot
+                        order[rear], at[p] = p, rear
+                k = len(ps)
+                size[g] -= k
+                if size[g]:
+                    size[rear] = k
                     for p in ps:
                         group[p] = rear
+                else:
+                    size[g] = k
     out = [0] * n
     out[0] = n - 1
-    done = [False] * n
-    fill: dict[int, int] = {}
-    done[n - 1] = True
+    free = list(range(n))  # each group's next place, kept at its start
     for i in range(n):
         j = out[i] - 1
-        while j >= 0 and not done[j]:
+        while j >= 0:
             g = group[j]
-            k = fill.get(g, 0)
-            out[g + k], fill[g], done[j] = j, k + 1, True
+            if g < 0:
+                break
+            out[free[g]] = j
+            free[g] += 1
+            group[j] = -1
             j = prev[j]
     return out[1:]
 
@@ -379,21 +407,53 @@ def window_keys(h: np.ndarray, p: np.ndarray, content: list[bytes], span: int) -
         at = end
 
 
+def shared_windows(contents: list[bytes], span: int) -> np.ndarray:
+    """For the contents joined by byte 0xFF, which no UTF-8 has: where strings of span bytes start that start elsewhere too.
+
+    In the order of suffixes those with the same first span bytes are neighbours. A window never holds a joint: it counts only
+    if span bytes of its content follow.
+    """
+    text = b"\xff".join(contents)
+    sizes = np.array([len(c) for c in contents])
+    ends = np.cumsum(sizes + 1) - 1
+    whole = np.ones(len(text), bool)
+    for e in ends:
+        whole[max(0, e - span + 1) : e + 1] = False
+    byte, power, inverse = constants(max(GROUP_BYTES, 1 << len(text).bit_length()), span)
+    buf = np.frombuffer(text, np.uint8)
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(byte[buf] * power[: len(buf)], out=total[1:])
+    order = np.array(suffix_array(text), np.int64)
+    order = order[whole[order]]
+    hashes = (total[order + span] - total[order]) * inverse[order]
+    same = hashes[1:] == hashes[:-1]
+    return np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]) if len(order) else order
+
+
 def compared(places: DataFrame, span: int) -> DataFrame:
-    """Spans of runs met once whose windows other contents of their anchor have at the same offset."""
+    """Spans of runs met once whose windows other contents of their anchor have."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def group(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            contents, n, p = rows.column("run").to_pylist(), rows.column("n").to_numpy(), rows.column("p").to_numpy()
+            starts = np.cumsum([0, *(len(c) + 1 for c in contents)])[:-1]
+            at = shared_windows(contents, span)
+            who = np.searchsorted(starts, at, "right") - 1
+            once = n[who] == 1
+            at, who = at[once], who[once]
+            first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else np.empty(0, np.int64)
+            last = np.append(first[1:], len(at)) - 1 if len(first) else first
+            own = who[first]
+            begin = (p[own] >> 16 & 0x7FFFFFFF) - (p[own] >> 8 & 255) + at[first] - starts[own]
+            return rows.column("t1").to_numpy()[own], p[own] >> 47, begin * 1024 + at[last] - at[first] + span
+
         def block(t: pa.Table) -> pa.RecordBatch:
-            h, n, t1, p = (t.column(c).to_numpy() for c in ("h", "n", "t1", "p"))
-            who, where, what = map(np.concatenate, zip(*window_keys(h, p, t.column("run").to_pylist(), span)))
-            _, back, count = np.unique(what, return_inverse=True, return_counts=True)
-            ok = (count[back] > 1) & (n[who] == 1)
-            who, where = who[ok], where[ok]
-            first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (where[1:] != where[:-1] + 1)])) if len(who) else np.empty(0, np.int64)
-            last = np.append(first[1:], len(who)) - 1 if len(first) else first
-            return pa.RecordBatch.from_arrays([pa.array(t1[who[first]]), pa.array(p[who[first]] >> 47), pa.array(where[first] * 1024 + where[last] - where[first] + span)], names=["t1", "t2", "s"])
+            h = t.column("h").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+            found = [group(t.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], names=["t1", "t2", "s"])
 
         held = None
         for batch in batches:
