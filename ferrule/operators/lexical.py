@@ -25,13 +25,13 @@ def tokenized(symbols: DataFrame, keep: list[Column]) -> DataFrame:
 
 
 def counted(tokens: DataFrame) -> DataFrame:
-    """tokens with x, a row for each distinct term of each field: a struct of term, field and n. No shuffle: terms are sorted in their row."""
+    """tokens with x, a row for each distinct term of each field (i counts them from 0): a struct of term, field and n. No shuffle: terms are sorted in their row."""
     others = [c for c in tokens.columns if not c.startswith("t_")]
     rows = tokens.select(*others, *(F.array_sort(f"t_{f}").alias(f"t_{f}") for f in FIELDS))
     new = lambda f: F.filter(F.sequence(F.lit(0), F.size(f"t_{f}")), lambda i: (i < F.size(f"t_{f}")) & ((i == 0) | (F.get(f"t_{f}", i) != F.get(f"t_{f}", i - 1))))
     rows = rows.select("*", *(new(f).alias(f"i_{f}") for f in FIELDS))
     runs = lambda f: F.transform(f"i_{f}", lambda i, k: F.struct(F.get(f"t_{f}", i).alias("term"), F.lit(f).alias("field"), (F.coalesce(F.get(f"i_{f}", k + 1), F.size(f"t_{f}")) - i).cast("long").alias("n")))
-    return rows.select(*others, F.explode(F.concat(*(runs(f) for f in FIELDS))).alias("x"))
+    return rows.select(*others, F.posexplode(F.concat(*(runs(f) for f in FIELDS))).alias("i", "x"))
 
 
 def postings(symbols: DataFrame, id_col: str = "id") -> DataFrame:
@@ -67,9 +67,10 @@ ATTRIBUTES = ("space", "language", "kind", "file_path")
 
 
 def entries(symbols: DataFrame, parts: int, id_col: str = "id", attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
-    """The index's rows: part, term, doc, frequencies, field lengths, hashes of the name and of its last segment, attributes.
+    """The index's rows: part, term, doc, frequencies, field lengths, hashes of the name and of its last segment, attributes, and whether
+    it is the document's first row (lead), by which its lengths are summed once.
 
-    One shuffle, by the term's part; a term of a row is counted before it.
+    Each text is tokenized once. One shuffle, by the term's part; a term of a row is counted before it.
     """
     name = F.lower("name")
     own = [F.col(id_col).alias("doc"), F.xxhash64(name).alias("whole_name"), F.xxhash64(F.element_at(F.split(name, r"[.]|::"), -1)).alias("last_name")]
@@ -78,31 +79,35 @@ def entries(symbols: DataFrame, parts: int, id_col: str = "id", attributes: tupl
     tokens = tokens.select("*", *(F.size(f"t_{f}").cast("int").alias(f"l_{f}") for f in FIELDS))
     rows = counted(tokens).withColumn("term", F.col("x.term")).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
     keys = ["part", "term", "doc", *(f"l_{f}" for f in FIELDS), "whole_name", "last_name", *attributes]
-    return rows.repartition(parts, "part").groupBy(*keys).agg(*(F.coalesce(F.sum(F.when(F.col("x.field") == f, F.col("x.n"))), F.lit(0)).cast("int").alias(f"f_{f}") for f in FIELDS))
+    return rows.repartition(parts, "part").groupBy(*keys).agg(*(F.coalesce(F.sum(F.when(F.col("x.field") == f, F.col("x.n"))), F.lit(0)).cast("int").alias(f"f_{f}") for f in FIELDS), (F.min("i") == 0).alias("lead"))
 
 
-def put_index(rows: DataFrame, measures: DataFrame, path: str, parts: int, mark: str | None) -> None:
-    """A new version of the index from its rows (dealt out by part) and the documents' lengths, named once it is whole: readers never see half of one."""
+def put_index(rows: DataFrame, docs: DataFrame, path: str, parts: int, mark: str | None) -> None:
+    """A new version of the index from its rows (dealt out by part) and the documents (doc), named once it is whole: readers never see half of one."""
     spark, version = rows.sparkSession, scratch.pointer(rows.sparkSession, path)["version"] + 1
     to = f"{path}/{version}"
     rows.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{to}/postings")
-    spark.read.parquet(f"{to}/postings").groupBy("part", "term").agg(F.count("*").alias("df")).repartition(parts, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{to}/terms")
-    measures.write.mode("overwrite").parquet(f"{to}/lengths")
-    statistics(spark.read.parquet(f"{to}/lengths")).withColumn("parts", F.lit(parts)).write.mode("overwrite").parquet(f"{to}/statistics")
+    own = spark.read.parquet(f"{to}/postings")
+    own.groupBy("part", "term").agg(F.count("*").alias("df")).repartition(parts, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{to}/terms")
+    docs.write.mode("overwrite").parquet(f"{to}/docs")
+    n = spark.read.parquet(f"{to}/docs").agg(F.count("*").alias("docs"))
+    sums = own.where("lead").agg(*(F.sum(f"l_{f}").alias(f"l_{f}") for f in FIELDS)).crossJoin(F.broadcast(n))  # one row
+    mean = lambda f: F.greatest(F.lit(1.0), F.coalesce(F.col(f"l_{f}") / F.col("docs"), F.lit(1.0))).alias(f"a_{f}")
+    sums.select("docs", *(mean(f) for f in FIELDS), F.lit(parts).alias("parts")).write.mode("overwrite").parquet(f"{to}/statistics")
     scratch.point(spark, path, version, mark)
 
 
 def write_index(symbols: DataFrame, path: str, parts: int = 64, id_col: str = "id", mark: str | None = None) -> None:
     """Index symbols anew under path. Postings lie by a hash of their term, sorted by it. mark says what was indexed."""
-    put_index(entries(symbols, parts, id_col), lengths(symbols, id_col), path, parts, mark)
+    put_index(entries(symbols, parts, id_col), symbols.select(F.col(id_col).alias("doc")), path, parts, mark)
 
 
 def patch_index(spark: SparkSession, path: str, dirty: DataFrame, new: DataFrame, id_col: str = "id", mark: str | None = None) -> None:
     """The next version of the index: without the documents of dirty (column doc), with the symbols of new."""
     at = f"{path}/{scratch.pointer(spark, path)['version']}"
     parts = spark.read.parquet(f"{at}/statistics").first()["parts"]
-    rows = spark.read.parquet(f"{at}/postings").withColumn("part", F.col("part").cast("int"))
-    put_index(patched(rows, dirty, entries(new, parts, id_col)).repartition(parts, "part"), patched(spark.read.parquet(f"{at}/lengths"), dirty, lengths(new, id_col)), path, parts, mark)
+    rows, docs = spark.read.parquet(f"{at}/postings").withColumn("part", F.col("part").cast("int")), spark.read.parquet(f"{at}/docs")
+    put_index(patched(rows, dirty, entries(new, parts, id_col)).repartition(parts, "part"), patched(docs, dirty, new.select(F.col(id_col).alias("doc"))), path, parts, mark)
 
 
 def search_index(spark: SparkSession, path: str, text: str, where: Column | None = None, min_score: float = 0.0, limit: int | None = 10, weight: Column | None = None) -> DataFrame:
@@ -127,7 +132,7 @@ def search_index(spark: SparkSession, path: str, text: str, where: Column | None
     score = times * reduce(lambda a, b: a + b, (value(f) for f in FIELDS))
     query = text.strip().lower()
     double = (F.col("whole_name") == F.xxhash64(F.lit(query))) | (F.col("last_name") == F.xxhash64(F.lit(query)))
-    attributes = [c for c in rows.columns if c not in ("part", "term", "doc", "whole_name", "last_name") and c[:2] not in ("f_", "l_")]
+    attributes = [c for c in rows.columns if c not in ("part", "term", "doc", "whole_name", "last_name", "lead") and c[:2] not in ("f_", "l_")]
     out = rows.groupBy("doc").agg(F.sum(score).alias("score"), F.count("*").alias("matched"), F.max(F.col("term") == query).alias("_whole"), F.max(double).alias("_double"), *(F.first(c).alias(c) for c in attributes))
     total = F.when(F.col("_double"), F.col("score") * 2).otherwise(F.col("score"))
     out = out.withColumn("score", total if weight is None else total * weight)

@@ -41,7 +41,7 @@ def index(spark: SparkSession, d: str, anew: bool = False) -> str:
     key = spark.sparkContext.applicationId, d
     if anew or key not in _indexes:
         path = _indexes.get(key) or scratch.new_path(spark, "index")
-        lexical.write_index(symbols(spark, d), path, parts=32)
+        lexical.write_index(scratch.spread(symbols(spark, d)), path, parts=32)
         _indexes[key] = path
     return _indexes[key]
 

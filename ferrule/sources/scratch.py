@@ -57,3 +57,9 @@ def point(spark: SparkSession, path: str, version: int, mark: str | None = None,
     spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(mark).cast("string").alias("mark")).write.mode("append").parquet(f"{path}/versions")
     if version > keep:
         delete(spark, f"{path}/{version - keep}")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan dealt out to all cores if its files make fewer tasks than there are; larger ones stay as they are, without a shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
