@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+#: Paths handed out since the last release().
+_made: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -27,7 +29,8 @@ def folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{folder(spark)}/ferrule-core-{label}-{uuid.uuid4().hex}"
+    _made.append(f"{folder(spark)}/ferrule-core-{label}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -42,6 +45,12 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what was written so far. Only for callers that hold no DataFrame, and no index, over it any more."""
+    while _made:
+        delete(spark, _made.pop())
+
+
 def pointer(spark: SparkSession, path: str) -> dict:
     """The newest row of a versioned folder's pointer table: version 0 and no mark if there is none."""
     try:

@@ -20,6 +20,15 @@ def test_scan_with_rules(spark, tmp_path):
     assert {r.rel_path: r.text for r in files.contents(spark, str(tmp_path), ["*.txt"]).collect()} == {"b.txt": "b.txt"}
 
 
+def test_written_tables_and_their_release(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "_made", [])
+    kept = scratch.written(spark.range(5), "t")
+    assert kept.count() == 5 and scratch.spread(spark.range(8, numPartitions=1)).count() == 8
+    path = scratch._made[0]
+    scratch.release(spark)
+    assert scratch._made == [] and scratch.pointer(spark, path) == {"version": 0, "mark": None}
+
+
 def test_walk_leaves_folders_out(spark, tmp_path):
     for name in ("a.py", "sub/c.py", "skip/d.py", "sub/skip/deep/e.py"):
         (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
