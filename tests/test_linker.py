@@ -95,3 +95,12 @@ def test_points(spark):
 
 def test_parts_of_bigger_graphs(spark, sf_dir):
     assert linked.type_tree(spark, sf_dir).count() > 0
+
+
+def test_named_symbols_are_equi_joins(spark):
+    """A file's symbols are not paired with all imports of the file: no join is left with a choice of columns to compare."""
+    many = spark.range(3000).selectExpr("concat('f', id) id", "'pkg/big.py' file_path", "concat('f', id) name", "if(id % 2 = 0, concat('f', id), concat('In.f', id)) fqn", "'function' kind", "cast(null as string) parent_id", "'python' language")
+    asked = spark.range(3000).selectExpr("concat('app/a', id % 2, '.py') file_path", "concat('pkg.big.f', id) expr")
+    out = linker.resolve_imports(asked, many)
+    assert " OR " not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.expr, r.target_id) for r in out.collect()} == {(f"pkg.big.f{i}", f"f{i}") for i in range(3000)}
