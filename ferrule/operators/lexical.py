@@ -1,12 +1,14 @@
 """BM25 over four fields: an index on disk, search that reads its terms' postings alone, roll-up by file, adaptive cut-offs.
 
-A posting holds a term, a document, the term's frequency in each field, and what scoring and filters need of the document, so a
-search reads the parts of its terms and nothing else, and shuffles only the documents that match.
+A posting holds a term, a document, the term's frequency in each field, and what scoring and filters need of the document. The index
+is made of segments: files of some documents each, sorted by term. Its documents are dealt out once, by size, and their postings
+never; a search reads the pages of its terms in each segment and nothing else, and shuffles only the documents that match.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,14 @@ from ferrule.sources import scratch
 
 FIELDS = {"name": 3.5, "signature": 2.0, "members": 2.0, "docstring": 1.5}
 K1, B = 1.5, 0.75
+#: Characters of text in a task that makes a segment, and postings in one that rewrites segments: they bound its memory whatever the input.
+SEGMENT, REWRITTEN = 8_000_000, 1_000_000
+
+
+def dealt(symbols: DataFrame, id_col: str = "id", least: int = 1) -> DataFrame:
+    """symbols with doc (their id) in so many partitions, by doc, that each has about SEGMENT characters: what is grouped by doc from here is not shuffled."""
+    n = symbols.agg(F.sum(reduce(lambda a, b: a + b, (F.coalesce(F.length(f), F.lit(0)).cast("long") for f in FIELDS)))).first()[0] or 0
+    return symbols.withColumn("doc", F.col(id_col)).repartition(max(least, symbols.sparkSession.sparkContext.defaultParallelism, ceil(n / SEGMENT)), "doc")
 
 
 def tokenized(symbols: DataFrame, keep: list[Column]) -> DataFrame:
@@ -24,20 +34,21 @@ def tokenized(symbols: DataFrame, keep: list[Column]) -> DataFrame:
     return out.select("*", *(terms(F.col(f"m_{f}")).alias(f"t_{f}") for f in FIELDS)).drop(*(f"m_{f}" for f in FIELDS))
 
 
-def counted(tokens: DataFrame) -> DataFrame:
-    """tokens with x, a row for each distinct term of each field (i counts them from 0): a struct of term, field and n. No shuffle: terms are sorted in their row."""
-    others = [c for c in tokens.columns if not c.startswith("t_")]
-    rows = tokens.select(*others, *(F.array_sort(f"t_{f}").alias(f"t_{f}") for f in FIELDS))
-    new = lambda f: F.filter(F.sequence(F.lit(0), F.size(f"t_{f}")), lambda i: (i < F.size(f"t_{f}")) & ((i == 0) | (F.get(f"t_{f}", i) != F.get(f"t_{f}", i - 1))))
-    rows = rows.select("*", *(new(f).alias(f"i_{f}") for f in FIELDS))
-    runs = lambda f: F.transform(f"i_{f}", lambda i, k: F.struct(F.get(f"t_{f}", i).alias("term"), F.lit(f).alias("field"), (F.coalesce(F.get(f"i_{f}", k + 1), F.size(f"t_{f}")) - i).cast("long").alias("n")))
-    return rows.select(*others, F.posexplode(F.concat(*(runs(f) for f in FIELDS))).alias("i", "x"))
+def words(tokens: DataFrame) -> DataFrame:
+    """tokens with a row for each term: term, and its place i in all fields' terms, by which frequencies() tells its field (l_ columns: fields' lengths)."""
+    sized = tokens.select("*", *(F.size(f"t_{f}").cast("int").alias(f"l_{f}") for f in FIELDS))
+    return sized.select(*(c for c in sized.columns if not c.startswith("t_")), F.posexplode(F.concat(*(F.col(f"t_{f}") for f in FIELDS))).alias("i", "term"))
+
+
+def frequencies(kind: str) -> list[Column]:
+    """Aggregates over words(): how often a term stands in each field."""
+    ends = {f: reduce(lambda a, b: a + b, (F.col(f"l_{g}") for g in list(FIELDS)[: k + 1])) for k, f in enumerate(FIELDS)}
+    return [F.count_if((F.col("i") < end) & (F.col("i") >= end - F.col(f"l_{f}"))).cast(kind).alias(f"f_{f}") for f, end in ends.items()]
 
 
 def postings(symbols: DataFrame, id_col: str = "id") -> DataFrame:
-    """term, doc, and its frequency in each field: one row a term and document."""
-    rows = counted(tokenized(symbols, [F.col(id_col).alias("doc")]))
-    return rows.groupBy("doc", F.col("x.term").alias("term")).agg(*(F.coalesce(F.sum(F.when(F.col("x.field") == f, F.col("x.n"))), F.lit(0)).alias(f"f_{f}") for f in FIELDS))
+    """term, doc, and its frequency in each field: one row a term and document. Texts are dealt out, not terms."""
+    return words(tokenized(dealt(symbols, id_col), [F.col("doc")])).groupBy("doc", "term").agg(*frequencies("long"))
 
 
 def lengths(symbols: DataFrame, id_col: str = "id") -> DataFrame:
@@ -67,28 +78,26 @@ ATTRIBUTES = ("space", "language", "kind", "file_path")
 
 
 def entries(symbols: DataFrame, parts: int, id_col: str = "id", attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
-    """The index's rows: part, term, doc, frequencies, field lengths, hashes of the name and of its last segment, attributes, and whether
+    """The index's rows: term, doc, frequencies, field lengths, hashes of the name and of its last segment, attributes, and whether
     it is the document's first row (lead), by which its lengths are summed once.
 
-    Each text is tokenized once. One shuffle, by the term's part; a term of a row is counted before it.
+    Each text is tokenized once, in a task of bounded size (at least so many parts); its terms are counted where they are.
     """
     name = F.lower("name")
-    own = [F.col(id_col).alias("doc"), F.xxhash64(name).alias("whole_name"), F.xxhash64(F.element_at(F.split(name, r"[.]|::"), -1)).alias("last_name")]
+    own = [F.col("doc"), F.xxhash64(name).alias("whole_name"), F.xxhash64(F.element_at(F.split(name, r"[.]|::"), -1)).alias("last_name")]
     own += [F.col(c) if c in symbols.columns else F.lit(None).cast("string").alias(c) for c in attributes]
-    tokens = tokenized(symbols, own)
-    tokens = tokens.select("*", *(F.size(f"t_{f}").cast("int").alias(f"l_{f}") for f in FIELDS))
-    rows = counted(tokens).withColumn("term", F.col("x.term")).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-    keys = ["part", "term", "doc", *(f"l_{f}" for f in FIELDS), "whole_name", "last_name", *attributes]
-    return rows.repartition(parts, "part").groupBy(*keys).agg(*(F.coalesce(F.sum(F.when(F.col("x.field") == f, F.col("x.n"))), F.lit(0)).cast("int").alias(f"f_{f}") for f in FIELDS), (F.min("i") == 0).alias("lead"))
+    rows = words(tokenized(dealt(symbols, id_col, parts), own))
+    keys = ["term", "doc", *(f"l_{f}" for f in FIELDS), "whole_name", "last_name", *attributes]
+    return rows.groupBy(*keys).agg(*frequencies("int"), (F.min("i") == 0).alias("lead"))
 
 
 def put_index(rows: DataFrame, docs: DataFrame, path: str, parts: int, mark: str | None) -> None:
-    """A new version of the index from its rows (dealt out by part) and the documents (doc), named once it is whole: readers never see half of one."""
+    """A new version of the index from its rows (dealt out by doc) and the documents (doc), named once it is whole: readers never see half of one."""
     spark, version = rows.sparkSession, scratch.pointer(rows.sparkSession, path)["version"] + 1
     to = f"{path}/{version}"
-    rows.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{to}/postings")
+    rows.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{to}/postings")
     own = spark.read.parquet(f"{to}/postings")
-    own.groupBy("part", "term").agg(F.count("*").alias("df")).repartition(parts, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{to}/terms")
+    document_frequency(own).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{to}/terms")
     docs.write.mode("overwrite").parquet(f"{to}/docs")
     n = spark.read.parquet(f"{to}/docs").agg(F.count("*").alias("docs"))
     sums = own.where("lead").agg(*(F.sum(f"l_{f}").alias(f"l_{f}") for f in FIELDS)).crossJoin(F.broadcast(n))  # one row
@@ -98,7 +107,7 @@ def put_index(rows: DataFrame, docs: DataFrame, path: str, parts: int, mark: str
 
 
 def write_index(symbols: DataFrame, path: str, parts: int = 64, id_col: str = "id", mark: str | None = None) -> None:
-    """Index symbols anew under path. Postings lie by a hash of their term, sorted by it. mark says what was indexed."""
+    """Index symbols anew under path, in as many segments as their size asks for, parts at least. mark says what was indexed."""
     put_index(entries(symbols, parts, id_col), symbols.select(F.col(id_col).alias("doc")), path, parts, mark)
 
 
@@ -106,14 +115,15 @@ def patch_index(spark: SparkSession, path: str, dirty: DataFrame, new: DataFrame
     """The next version of the index: without the documents of dirty (column doc), with the symbols of new."""
     at = f"{path}/{scratch.pointer(spark, path)['version']}"
     parts = spark.read.parquet(f"{at}/statistics").first()["parts"]
-    rows, docs = spark.read.parquet(f"{at}/postings").withColumn("part", F.col("part").cast("int")), spark.read.parquet(f"{at}/docs")
-    put_index(patched(rows, dirty, entries(new, parts, id_col)).repartition(parts, "part"), patched(docs, dirty, new.select(F.col(id_col).alias("doc"))), path, parts, mark)
+    rows, docs = spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/docs")
+    n = max(parts, ceil(rows.count() / REWRITTEN))
+    put_index(patched(rows, dirty, entries(new, parts, id_col)).repartition(n, "doc"), patched(docs, dirty, new.select(F.col(id_col).alias("doc"))), path, parts, mark)
 
 
 def search_index(spark: SparkSession, path: str, text: str, where: Column | None = None, min_score: float = 0.0, limit: int | None = 10, weight: Column | None = None) -> DataFrame:
     """doc, score, matched (distinct terms) and the document's attributes: the best documents. Ties go to the lesser doc.
 
-    Only the parts of the query's terms are read, and of them only these terms' row groups. Statistics count all documents;
+    Only the pages of the query's terms are read, as segments are sorted by term. Statistics count all documents;
     the filter, over the attributes, acts before scores. Repeated terms of the query score again. A query that is the name or
     its last segment scores double. With three terms or more, half of them must match, unless one is the query.
     """
@@ -121,8 +131,7 @@ def search_index(spark: SparkSession, path: str, text: str, where: Column | None
     stats = spark.read.parquet(f"{at}/statistics").first()  # one row
     rows = spark.read.parquet(f"{at}/postings")
     own = {t: asked.count(t) for t in asked}
-    parts = {r["p"] for r in spark.range(1).select(F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(stats["parts"])) for t in own))).alias("p")).collect()} if own else set()  # a row a term of the query
-    chosen = F.col("part").isin(*parts) & F.col("term").isin(*own) if own else F.lit(False)
+    chosen = F.col("term").isin(*own) if own else F.lit(False)
     df = {r["term"]: r["df"] for r in spark.read.parquet(f"{at}/terms").where(chosen).collect()}  # a row a term of the query
     rows = rows.where(chosen) if where is None else rows.where(chosen).where(where)
     value = lambda f: FIELDS[f] * F.col(f"f_{f}") * (K1 + 1) / (F.col(f"f_{f}") + K1 * (1 - B) + 1e-9 + K1 * B / stats[f"a_{f}"] * F.greatest(F.col(f"l_{f}"), F.lit(1)))
@@ -132,7 +141,7 @@ def search_index(spark: SparkSession, path: str, text: str, where: Column | None
     score = times * reduce(lambda a, b: a + b, (value(f) for f in FIELDS))
     query = text.strip().lower()
     double = (F.col("whole_name") == F.xxhash64(F.lit(query))) | (F.col("last_name") == F.xxhash64(F.lit(query)))
-    attributes = [c for c in rows.columns if c not in ("part", "term", "doc", "whole_name", "last_name", "lead") and c[:2] not in ("f_", "l_")]
+    attributes = [c for c in rows.columns if c not in ("term", "doc", "whole_name", "last_name", "lead") and c[:2] not in ("f_", "l_")]
     out = rows.groupBy("doc").agg(F.sum(score).alias("score"), F.count("*").alias("matched"), F.max(F.col("term") == query).alias("_whole"), F.max(double).alias("_double"), *(F.first(c).alias(c) for c in attributes))
     total = F.when(F.col("_double"), F.col("score") * 2).otherwise(F.col("score"))
     out = out.withColumn("score", total if weight is None else total * weight)

@@ -160,3 +160,26 @@ def test_snippet_budget(spark):
         lines_.append(k)
         used, n = used + 50 + (k * 100 - 1 if k else 0), n + 1
     assert [got["q", i + 1] for i in range(len(lines_))] == lines_ and len(got) == len(lines_) + 1 and got["r", 1] == 30
+
+
+def test_segments_bound_a_task_and_shuffle_no_postings(spark, tmp_path, monkeypatch):
+    """The index has more segments for more text, each sorted by term, a document in one of them; its rows are grouped where their texts are."""
+    import re
+
+    from ferrule.operators import lexical
+
+    monkeypatch.setattr(lexical, "SEGMENT", 2_000, raising=False)
+    docs = spark.range(200).selectExpr("id", "concat('n', id) name", "'' signature", "'' members", "concat_ws(' ', transform(sequence(1, 40), i -> concat('t', (id * i) % 97))) docstring", "'en' language", "'s' space", "'f' file_path")
+    rows = lexical.entries(docs, 2)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1 and "hashpartitioning(doc" in plan
+    assert rows.rdd.getNumPartitions() > 8
+    lexical.write_index(docs, path := str(tmp_path / "index"), parts=2)
+    at = spark.read.parquet(f"{path}/1/postings").selectExpr("input_file_name() file", "doc", "term", "f_name", "f_docstring")
+    assert at.groupBy("doc").agg({"file": "approx_count_distinct"}).where("`approx_count_distinct(file)` > 1").isEmpty()
+    want = {}
+    for i in range(200):
+        for k in range(1, 41):
+            want.setdefault((i, f"t{i * k % 97}"), [0, 0])[1] += 1
+        want.setdefault((i, f"n{i}"), [0, 0])[0] += 1
+    assert {(r.doc, r.term): [r.f_name, r.f_docstring] for r in at.collect()} == want
