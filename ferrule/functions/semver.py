@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,31 +47,49 @@ def is_build(version: Column) -> Column:
     return F.lower(group(version, 4)) == "build"
 
 
-def clause(version: Column, text: Column) -> Column:
-    """Whether a version passes one clause; null if either is malformed."""
+def bound(value: Column, test: Callable[[Column], Column]) -> Column:
+    """test of a value that is computed once, however often the test names it."""
+    return F.exists(F.array(value), test)
+
+
+def clause(version: Column, text: Column, key: Column | None = None) -> Column:
+    """Whether a version (its sort_key, if there is one already) passes one clause; null if either is malformed."""
     op, target = F.regexp_extract(text, CLAUSE, 1), F.regexp_extract(text, CLAUSE, 2)
     op = F.when(op.isin("", "="), "==").when(op == "^", "^=").otherwise(op)
-    key, goal = sort_key(version), sort_key(target)
-    same = lambda *names: F.lit(True) if not names else (key[names[0]] == goal[names[0]]) & same(*names[1:])
-    stem = F.split(F.regexp_replace(target, r"\.\*$", ""), r"\.")
-    fits = lambda i, name: (F.size(stem) <= i) | (key[name] == F.get(stem, F.lit(i)).try_cast("long"))
-    wild = (F.size(stem) <= 3) & fits(0, "major") & fits(1, "minor") & fits(2, "patch")
-    plain = key["final"] & goal["final"] & ~is_build(version) & ~is_build(target) & (F.regexp_count(target, F.lit(r"\.")) == 2)
-    exact = F.when(plain, same("major", "minor", "patch")).otherwise(key == goal)
-    near = (key >= goal) & same("major") & ((goal["major"] != 0) | same("minor"))
-    found = F.when(op == "==", F.when(target.endswith(".*"), wild).otherwise(exact)).when(op == "!=", key != goal).when(op == ">", key > goal).when(op == ">=", key >= goal).when(op == "<", key < goal).when(op == "<=", key <= goal).otherwise(near)
-    return (F.trim(text) == "*") | found
+
+    def test(x: Column) -> Column:
+        op, target, key, goal = x["op"], x["target"], x["key"], x["goal"]
+        same = lambda *names: F.lit(True) if not names else (key[names[0]] == goal[names[0]]) & same(*names[1:])
+        stem = F.split(F.regexp_replace(target, r"\.\*$", ""), r"\.")
+        fits = lambda i, name: (F.size(stem) <= i) | (key[name] == F.get(stem, F.lit(i)).try_cast("long"))
+        wild = (F.size(stem) <= 3) & fits(0, "major") & fits(1, "minor") & fits(2, "patch")
+        plain = key["final"] & goal["final"] & ~is_build(version) & ~is_build(target) & (F.regexp_count(target, F.lit(r"\.")) == 2)
+        exact = F.when(plain, same("major", "minor", "patch")).otherwise(key == goal)
+        near = (key >= goal) & same("major") & ((goal["major"] != 0) | same("minor"))
+        found = F.when(op == "==", F.when(target.endswith(".*"), wild).otherwise(exact)).when(op == "!=", key != goal).when(op == ">", key > goal).when(op == ">=", key >= goal).when(op == "<", key < goal).when(op == "<=", key <= goal).otherwise(near)
+        return x["any"] | found
+
+    key = sort_key(version) if key is None else key
+    return bound(F.struct(op.alias("op"), target.alias("target"), key.alias("key"), sort_key(target).alias("goal"), (F.trim(text) == "*").alias("any")), test)
+
+
+def whole(version: Column, text: Column, every: Column) -> Column:
+    """every, the answer of a constraint's clauses, but for what its whole text or a '.build' version decides."""
+    return F.when(text.isin("", "*") | (version == "build") | version.endswith(".build"), True).when(text.isin("build", "==build"), False).otherwise(every)
 
 
 def holds(version: Column, constraint: Column) -> Column:
     """Whether a version passes a constraint of any number of clauses; both are columns. A '.build' version passes every one; only it passes 'build'."""
     text, v = F.trim(F.coalesce(constraint, F.lit(""))), F.trim(version)
-    every = F.forall(F.filter(F.split(text, ","), lambda c: F.trim(c) != ""), lambda c: clause(v, c))
-    return F.when(text.isin("", "*") | (v == "build") | v.endswith(".build"), True).when(text.isin("build", "==build"), False).otherwise(every)
+    clauses = F.filter(F.split(text, ","), lambda c: F.trim(c) != "")
+    return whole(v, text, bound(sort_key(v), lambda key: F.forall(clauses, lambda c: clause(v, c, key))))
 
 
 def matches(version: Column, constraint: str | None) -> Column:
-    return holds(version, F.lit(constraint).cast("string"))
+    """holds for one constraint: its clauses are constants, read once for all versions."""
+    text, v = (constraint or "").strip(" "), F.trim(version)
+    every = lambda key: reduce(lambda a, b: a & b, (clause(v, F.lit(c), key) for c in text.split(",") if c.strip(" ")), F.lit(True))
+    return whole(v, F.lit(text), bound(sort_key(v), every))
 
 
 def bump(version: Column, part: str) -> Column:

@@ -64,3 +64,16 @@ def test_parsers(spark):
     code = "class A:\n    '''doc'''\n    def f(self):\n        def g(): pass\n"
     py = spark.createDataFrame([("a.py", code), ("bad.py", "def ("), ("none.py", None)], "file_path string, text string")
     assert sorted((r.fqn, r.kind, r.line, r.end_line) for r in parsers.python_symbols(py).collect()) == [("A", "class", 1, 4), ("A.f", "method", 3, 4), ("A.f.g", "function", 4, 4)]
+
+
+def test_constraints_read_a_version_once(spark):
+    """One constraint for all rows says what it says as a column, and neither repeats the parsing of the version for each comparison."""
+    versions = ["1.2.3", "1.2.3-rc.1", "0.3.0", "2.0.0", "1.2.3.build", "build", "1.2.3.4", "bad", None, " v1.2.0 "]
+    asked = ["^=1.2.0, <2.0.0-rc.0, !=1.3.1", "==1.2.*", "", "*", "build", ">=bad", "<1.0.0,>=bad", " , >0.1.0,", "~=0.3.0", None]
+    v = spark.createDataFrame([(x,) for x in versions], "v string")
+    plans = []
+    for c in asked:
+        one = v.select("v", semver.matches(F.col("v"), c).alias("one"), semver.holds(F.col("v"), F.lit(c).cast("string")).alias("other"))
+        assert all(r.one == r.other for r in one.collect()), c
+        plans.append(v.where(semver.matches(F.col("v"), c))._jdf.queryExecution().optimizedPlan().toString())
+    assert max(p.count("regexp_extract(trim(") for p in plans) < 40
