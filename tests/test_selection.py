@@ -183,3 +183,13 @@ def test_segments_bound_a_task_and_shuffle_no_postings(spark, tmp_path, monkeypa
             want.setdefault((i, f"t{i * k % 97}"), [0, 0])[1] += 1
         want.setdefault((i, f"n{i}"), [0, 0])[0] += 1
     assert {(r.doc, r.term): [r.f_name, r.f_docstring] for r in at.collect()} == want
+
+
+def test_postings_are_counted_where_their_texts_are(spark):
+    """One exchange, of documents by id; repeated ids are one document."""
+    from ferrule.operators import lexical
+
+    docs = spark.createDataFrame([(1, "Ab", "ab cd cd"), (1, "Ab", "cd"), (2, None, "cd"), (3, "", None)], "id long, name string, docstring string").selectExpr("*", "'' signature", "'' members")
+    rows = lexical.postings(docs)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted((r.doc, r.term, r.f_name, r.f_docstring) for r in rows.collect()) == [(1, "ab", 2, 1), (1, "cd", 0, 3), (2, "cd", 0, 1)]
