@@ -104,3 +104,9 @@ def test_named_symbols_are_equi_joins(spark):
     out = linker.resolve_imports(asked, many)
     assert " OR " not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.expr, r.target_id) for r in out.collect()} == {(f"pkg.big.f{i}", f"f{i}") for i in range(3000)}
+
+
+def test_type_hierarchies_send_no_edges_to_the_driver(spark):
+    out = graph.type_dag(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "node long, base long"))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(1, 2), (2, 3), (4, 1)]
