@@ -110,3 +110,32 @@ def test_type_hierarchies_send_no_edges_to_the_driver(spark):
     out = graph.type_dag(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "node long, base long"))
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, out.collect())) == [(1, 2), (2, 3), (4, 1)]
+
+
+def test_calls_alike_are_looked_up_once(spark, nodes, monkeypatch):
+    """Sites of one caller, file and expression make no rows of their own before the end, and an imported name no candidates of tier 4."""
+    sizes, plain = {}, linker.scratch.written
+
+    def written(df, label):
+        out = plain(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(linker.scratch, "written", written)
+    refs = spark.range(600).selectExpr("concat('c', id) site", "'der.go' src", "'app/derived.py' file_path", "if(id % 2 = 0, 'f', 'only') expr")
+    targets = spark.createDataFrame([("app/derived.py", "f", "lib/util/__init__.py", "util.f"), ("app/derived.py", "only", "lib/base.py", "base")], "file_path string, alias string, target_file string, target_id string")
+    out = linker.resolve_calls(refs, nodes, targets, spark.createDataFrame([], "node string, base string"))
+    assert {(r.dst, r.tier, r.status, r.n) for r in out.groupBy("dst", "tier", "status").agg(F.count("*").alias("n")).collect()} == {("util.f", 3, "resolved", 300), ("base", 3, "resolved", 300)}
+    assert max(n for label, n in sizes.items() if label != "link-refs") == 2
+
+
+def test_rows_of_one_site_share_their_candidates(spark, nodes):
+    """Also: null sites stay unresolved, and so does what only an unknown symbol fits best; a null file or caller still finds full names."""
+    rows = [("a", "der.go", "app/derived.py", "helper"), ("a", "der", "app/derived.py", "Base.run"), ("b", "der.go", "app/derived.py", "Base.run"), ("b", None, None, "Base.stop"), (None, "der.go", "app/derived.py", "helper"), ("c", "der.go", "app/derived.py", "gone"), ("d", None, None, "Base.stop")]
+    refs = spark.createDataFrame(rows, "site string, src string, file_path string, expr string")
+    targets = spark.createDataFrame([("app/derived.py", "gone", "lib/base.py", "not there")], "file_path string, alias string, target_file string, target_id string")
+    out = linker.resolve_calls(refs, nodes, targets, spark.createDataFrame([], "node string, base string"))
+    got = sorted(((r.site, r.src, r.dst, r.tier, r.status) for r in out.collect()), key=str)
+    want = [("a", s, "help", 1, "resolved") for s in ("der", "der.go")] + [("b", s, d, 4, "ambiguous") for s in (None, "der.go") for d in ("base.run", "base.stop")]
+    want += [(None, "der.go", None, None, "unresolved"), ("c", "der.go", None, None, "unresolved"), ("d", None, "base.stop", 4, "resolved")]
+    assert got == sorted(want, key=str)
