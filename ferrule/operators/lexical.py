@@ -70,6 +70,22 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def term_documents(symbols: DataFrame, id_col: str = "id") -> DataFrame:
+    """document_frequency(postings(symbols)) without postings: a row's terms are told apart in the row, and just counted after.
+
+    Only texts whose id stands in several rows are told apart by id, as they are one document. No term crosses a line, so a row's
+    fields are read as the lines of one text.
+    """
+    symbols = scratch.spread(symbols).select(F.col(id_col).alias("doc"), *FIELDS)
+    several = scratch.written(symbols.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "terms-several")
+    own = lambda rows: rows.select("doc", marked(F.concat_ws("\n", *FIELDS)).alias("m")).select("doc", F.explode(F.array_distinct(terms(F.col("m")))).alias("term"))
+    if several.isEmpty():
+        return document_frequency(own(symbols))
+    same = symbols["doc"].eqNullSafe(several["doc"])
+    once, more = symbols.join(several, same, "left_anti"), symbols.join(several, same, "left_semi")
+    return document_frequency(own(once).unionByName(own(more).distinct()))
+
+
 def query_terms(text: str, spark) -> list[str]:
     return spark.range(1).select(tokenize(F.lit(text))).first()[0]
 
